@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import media, packing
+from vectorloom.llm import media, packing, pieces
 from vectorloom.llm.common import table
 
 
@@ -20,8 +20,12 @@ def op3_packing(spark, sf_dir):
     return packing.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_pieces(spark, sf_dir):
+    return pieces.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {"op1_media": op1_media, "op3_packing": op3_packing}
+    return {f.__name__: f for f in (op1_media, op3_packing, op10_pieces)}
 
 
 def oracle_sql() -> dict:
