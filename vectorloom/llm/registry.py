@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import media, packing, pieces
+from vectorloom.llm import media, packing, pieces, pii
 from vectorloom.llm.common import table
 
 
@@ -20,12 +20,16 @@ def op3_packing(spark, sf_dir):
     return packing.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.surrogate_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark, sf_dir):
     return pieces.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_packing, op10_pieces)}
+    return {f.__name__: f for f in (op1_media, op3_packing, op9_pii, op10_pieces)}
 
 
 def oracle_sql() -> dict:
