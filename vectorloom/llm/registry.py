@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import language, media, packing, pieces, pii
+from vectorloom.llm import language, media, packing, pieces, pii, quality
 from vectorloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark, sf_dir):
     return packing.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark, sf_dir):
     return language.language_digest(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_pieces(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_packing, op8_language, op9_pii, op10_pieces)}
+    return {f.__name__: f for f in (op1_media, op3_packing, op7_quality, op8_language, op9_pii, op10_pieces)}
 
 
 def oracle_sql() -> dict:
