@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts an Arrow batch so that no piece holds much more than BATCH_BYTES of the named column."""
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts an Arrow batch so that no piece holds much more than so many bytes of the named column."""
     if not batch.num_rows:
         return
     import numpy as np
@@ -29,7 +29,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
-        stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(size, base + BATCH_BYTES, "right"))))
+        stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(size, base + most, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -77,3 +77,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A broadcast hint only if the counted rows are known to fit under the limit; else a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 4096) -> Iterator[pa.Table]:
+    """Of batches sorted by a column without nulls: tables of some rows or more in which no group is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = int((k != k[-1]).sum()) if k[0] != k[-1] else 0
+        if held and held[-1].column(key)[-1].as_py() != k[0] and sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut and sum(b.num_rows for b in held) + cut >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

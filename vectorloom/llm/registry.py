@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import language, media, packing, pages, pieces, pii, quality
+from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality
 from vectorloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark, sf_dir):
     return packing.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_embeddings(spark, sf_dir):
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 def op5_wrapper(spark, sf_dir):
     return pages.text_digest(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_pieces(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_packing, op5_wrapper, op7_quality, op8_language, op9_pii, op10_pieces)}
+    return {f.__name__: f for f in (op1_media, op3_packing, op4_embeddings, op5_wrapper, op7_quality, op8_language, op9_pii, op10_pieces)}
 
 
 def oracle_sql() -> dict:
