@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality
+from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality, simhash
 from vectorloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_media(spark, sf_dir):
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.class_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pieces_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_pieces(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_packing, op4_embeddings, op5_wrapper, op7_quality, op8_language, op9_pii, op10_pieces)}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_packing, op4_embeddings, op5_wrapper, op7_quality, op8_language, op9_pii, op10_pieces)}
 
 
 def oracle_sql() -> dict:
