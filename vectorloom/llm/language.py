@@ -24,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_arrow
-
 ORDER = 4
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
 #: Every CALIBRATE-th text of the sample only calibrates the rejection.
@@ -287,16 +285,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
     return fit(samples, order)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), bits, rejected; in the order and number of the rows."""
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of the input, and lang_pred, score (0 to 1), bits, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, Scorer] = {}
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+    @F.arrow_udf("lang_pred string, score double, bits double, rejected boolean")
+    def judged(column: pa.Array) -> pa.Array:
         if "scorer" not in cache:
             cache["scorer"] = Scorer(shared.value)
         scorer, m = cache["scorer"], shared.value
-        texts = batch.column(1).to_pylist()
+        texts = column.to_pylist()
         names, scores, bits, rejected = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)
         if m.languages:
             todo = [(i, c) for i, c in ((i, code_points(t)) for i, t in enumerate(texts) if t) if len(c)]
@@ -317,10 +316,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for k, (i, _) in enumerate(todo[at:stop]):
                     names[i], scores[i], bits[i], rejected[i] = m.languages[best[k]], float(share[k]), float(low[k]), bool(z[k] > REJECT and low[k] > m.mean[best[k]] + REJECT_BITS)
                 at = stop
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "bits", "rejected"])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["lang_pred", "score", "bits", "rejected"])
+
+    return docs.withColumn("language_found", judged(F.col(text_col).cast("string"))).select(*docs.columns, "language_found.*")
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("body"))
-    return map_arrow(source, "body", kernel, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score (0 to 1), bits, rejected of every row."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body")), model, "body").drop("body")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:

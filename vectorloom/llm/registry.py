@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality, simhash
+from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality, simhash, substrings
 from vectorloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_wrapper(spark, sf_dir):
     return pages.text_digest(table(spark, sf_dir, "pages"))
 
 
+def op6_substrings(spark, sf_dir):
+    return substrings.cut_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_pieces(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op2_simhash, op3_packing, op4_embeddings, op5_wrapper, op7_quality, op8_language, op9_pii, op10_pieces)}
+    return {f.__name__: f for f in (op1_media, op2_simhash, op3_packing, op4_embeddings, op5_wrapper, op6_substrings, op7_quality, op8_language, op9_pii, op10_pieces)}
 
 
 def oracle_sql() -> dict:
