@@ -47,3 +47,10 @@ def test_table(spark, small):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     by_doc = check(packing.pieces_digest(docs.repartition(5), PATH).collect(), rows)
     assert len(by_doc) == len(rows)
+
+
+def test_pretokens_of_odd_characters():
+    e = packing.WordEncoder(PATH)
+    texts = ["x² ½ Ⅷ a\x1cb \x85 c", "don't  stop\n\n \t it's_a __ 12,5 ٣٤ naïve e\u0301", " \u3000 wide\xa0space", "a\x1fb", "’s 's'S"]
+    for got, want in zip(e.encode(texts), direct(texts)):
+        assert np.frombuffer(got, e.dtype).tolist() == want[:-1]

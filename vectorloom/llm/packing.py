@@ -14,6 +14,11 @@ any other row; no rows, no pieces; other columns are not looked at.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,32 +31,68 @@ from vectorloom.llm.common import slices, stored
 WINDOW = 2048
 END_ID = 1
 #: Pre-tokens that a worker remembers; beyond, it forgets them all and begins anew.
-MEMORY = 400_000
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MEMORY = 300_000
+#: Bytes of text that are split at once.
+PIECE = 1 << 20
+#: The pre-tokens of byte-level BPE, for texts without characters that the re module classes otherwise.
+_SPLIT = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+
+
+def _odd_characters() -> str:
+    """Numbers that aren't decimal digits (letters to re), and separators that only re takes for white space.
+
+    Characters beyond the basic plane count as odd too: with any of them listed, re would search the list one by one."""
+    odd = [c for c in map(chr, range(1 << 16)) if c.isalnum() and unicodedata.category(c) not in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd")]
+    return "[" + "".join(odd) + "\x1c-\x1f\x85\u180e]"
 
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library by way of their distinct pre-tokens."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(_SPLIT).findall
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.odd = re.compile(_odd_characters()).search
+        self.wide = re.compile("[\U00010000-\U0010ffff]").search
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
         self.known: dict[str, bytes] = {}
 
+    def _packed(self, ids: list[int]) -> bytes:
+        found = array(self.code, ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
+        out, parts = [b""] * len(texts), {}
+        for i, t in enumerate(texts):
+            if t.isascii() and not ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) or not (self.odd(t) or self.wide(t)):
+                parts[i] = _SPLIT(t)
+            else:
+                out[i] = self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        if len(self.known) > MEMORY:
+            self.known.clear()
         known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        new = list(set().union(*parts.values()).difference(known))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[w] = self._packed(e.ids)
+        for i, p in parts.items():
+            out[i] = b"".join(map(known.__getitem__, p))
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One a worker process, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,11 +101,11 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
+        part, before, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
         end = np.asarray([END_ID], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for batch in batches:
-            for piece in slices(batch, "body"):
+            for piece in slices(batch, "body", PIECE):
                 ids = [x + end for x in encoder.encode([t or "" for t in piece.column(1).to_pylist()])]
                 n = np.array([len(x) // width for x in ids], np.int64)
                 first = before + np.cumsum(n) - n
