@@ -37,8 +37,8 @@ BITS = 512
 CHECK = 256
 RECALL = 0.99
 MEAN_BUCKET, CELL = 64, 2048
-#: Standard deviations that a similar pair's distance may lie above its mean.
-SLACK = 4.0
+#: Standard deviations that a similar pair's distance may lie above its mean, by the first CHECK bits and by all.
+SLACK = 3.2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -101,6 +101,12 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agreement(threshold) ** bits)))
 
 
+def farthest(bits: int, threshold: float) -> int:
+    """In how many of so many coordinates a pair of the threshold similarity may differ."""
+    miss = 1 - agreement(threshold)
+    return int(bits * miss + SLACK * np.sqrt(bits * miss * (1 - miss)))
+
+
 def _samples(bits: int, tables: int) -> np.ndarray:
     rng = np.random.default_rng(11)
     return np.stack([rng.permutation(BITS)[:bits] for _ in range(tables)])
@@ -154,9 +160,7 @@ def _celled(rows: DataFrame) -> DataFrame:
 
 def _candidates(cells: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (u, v): a spanning forest of the surely similar, and the possibly similar between its trees."""
-    miss = 1 - agreement(threshold)
-    most = int(CHECK * miss + SLACK * np.sqrt(CHECK * miss * (1 - miss)))
-    sure = max(0, int(CHECK * miss / 3))
+    most, sure = farthest(CHECK, threshold), int(CHECK * (1 - agreement(threshold)) / 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches):
@@ -215,20 +219,44 @@ def _candidates(cells: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
+def _near(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose whole codes are near enough; only codes travel."""
+    most = farthest(BITS, threshold)
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+        return batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= most))
+
+    code = distinct.select("id", "code").where("size > 0")
+    both = pairs.join(code.select(F.col("id").alias("u"), F.col("code").alias("a")), "u").join(code.select(F.col("id").alias("v"), F.col("code").alias("b")), "v").select("u", "v", "a", "b")
+    return map_arrow(both, "a", compare, "u long, v long")
+
+
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes by their five leading bytes."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return np.unique(wide.view(">u8").ravel().astype(np.uint64))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose shingle sets reach the threshold. Only texts of candidates travel."""
     involved = checkpointed(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     involved = maybe_broadcast(involved, involved.count(), 16)
 
     def set_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
 
     sets = checkpointed(map_arrow(texts.join(involved, "id", "left_semi").select("id", "body"), "body", set_of, "id long, hashes binary"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            p, q = _unpacked(a), _unpacked(b)
             common = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(common >= threshold * (len(p) + len(q) - common))
         return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -242,7 +270,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     coded = stored(codes(docs, id_col, text_col))
     distinct = stored(coded.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("code").alias("code")))
     bits, tables = plan(distinct.count(), threshold)
-    pairs = checkpointed(_candidates(_celled(_emit(distinct, bits, tables)), threshold))
+    pairs = checkpointed(_near(checkpointed(_candidates(_celled(_emit(distinct, bits, tables)), threshold)), distinct, threshold))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     grouped = checkpointed(components(_verified(pairs, texts, threshold)))
     classed = coded.select("doc_id", "digest").join(distinct.select("digest", "id"), "digest").join(grouped.withColumnRenamed("node", "id"), "id", "left")
