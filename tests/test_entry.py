@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 REPO = Path(__file__).resolve().parents[1]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = ("ann_", "push_", "insert_", "delete_", "payload_", "vector_", "index_", "live_", "quantizer_", "feedback_")
+SLOW = ("ann_", "push_", "insert_", "delete_", "payload_", "vector_", "index_", "live_", "quantizer_", "feedback_", "search_", "code_")
 LIGHT = [n for n in entry._core().oracle_sql() if not n.startswith(SLOW)]
 
 

@@ -333,6 +333,23 @@ class Index:
         fraction = o.fraction or self.manifest["fraction"]
         return routing.by_plane(scores, self.table("leaves"), fraction, o.plane_keep, self.leaf_distances(queries, leaves) if o.plane_keep else None).select("query_id", "leaf_id")
 
+    def visited(self, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
+        """The trace of a search: (query_id, leaf_id, weight) of the leaves it reads."""
+        o = options or SearchOptions()
+        leaves = self.table("leaves")
+        chosen = self._all(queries, leaves) if o.exhaustive else self.probes(queries, o, leaves)
+        return chosen.join(leaves.select("leaf_id", "weight"), "leaf_id").select("query_id", "leaf_id", "weight")
+
+    def search_stats(self, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
+        """One row: queries, leaf visits, distinct leaves (each is read once), rows scored, and visits a leaf."""
+        v = self.visited(queries, options)
+        out = v.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("visits"), F.count_distinct("leaf_id").alias("leaves"), F.sum("weight").alias("rows"))
+        return out.withColumn("fanout", F.col("visits") / F.col("leaves"))
+
+    def leaf_rows(self) -> DataFrame:
+        """(leaf_id, rows, row_ids) of every leaf, whose size its capacity bounds."""
+        return self.table("members").groupBy("leaf_id").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list("row_id")).alias("row_ids"))
+
     def scan(self, queries: DataFrame, probes: DataFrame, leaves: DataFrame, predicates: list[Predicate], width: int) -> DataFrame:
         """(query_id, leaf_id, row_id, scan_key): the best ``width`` decoded rows of each query's leaves.
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions.predicates import Op, Predicate, matches, parse
 from vectorloom.functions.vectors import IP, L2, distance, normalized
-from vectorloom.operators import evaluate, quantizers, routing, stats, summary, topk, training
+from vectorloom.operators import evaluate, explore, quantizers, routing, stats, summary, topk, training
 from vectorloom.operators.exact import exact_knn, scan_distances
 from vectorloom.operators.index import BuildOptions, Index, IndexBuilder, SearchOptions
 from vectorloom.plans.corpus import FILTERS, SQL_BASE, corpus, dot, embeddings, knn_sql, l2, queries as query_set
@@ -557,6 +555,20 @@ def quantizer_distortion(spark, sf):
     return out
 
 
+@register("code_sizes", None)
+def code_sizes(spark, sf):
+    return explore.code_report(corpus(spark, sf), [(8, 4), (16, 4), (32, 4), (16, 6)], bound=0.08)
+
+
+@register("search_stats", "SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, TRUE AS each_leaf_once, TRUE AS rows_fit FROM embeddings")
+def search_stats(spark, sf):
+    """What an exhaustive search of all queries reads: every leaf once, every slot for each query."""
+    index = built(spark, sf)
+    s = index.search_stats(query_set(spark, sf), EXHAUSTIVE)
+    n = index.info()
+    return s.select("queries", (F.col("leaves") == n["leaves"]).alias("each_leaf_once"), (F.col("rows") == n["live"] * F.col("queries")).alias("rows_fit"))
+
+
 # --- sources -------------------------------------------------------------------------------------------------------
 
 _ALL = "SELECT vec_id AS row_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS total FROM embeddings"
@@ -601,13 +613,18 @@ def positional_label_join(spark, sf):
     return files.positional_join(part.select("row_id", "p_partkey"), part.select("row_id", "p_brand"), ["p_brand"])
 
 
+@register("converted_file", "WITH h AS (SELECT vec_id, (vec_id::HUGEINT * 2654435761 % 4294967296)::BIGINT AS h FROM embeddings) SELECT vec_id AS row_id, concat('cat_', h % 16) AS category, CAST(2015 + (h // 16) % 10 AS INTEGER) AS year, CAST(h / 4294967296.0::DOUBLE AS FLOAT) AS score FROM h")
+def converted_file(spark, sf):
+    """A counted file turned into Parquet with fixed-length vectors and demonstration columns, and read again."""
+    path = _local(spark, "convert")
+    files.write_fbin(corpus(spark, sf).select("row_id", "embedding"), f"{path}/all.fbin")
+    files.vectors_to_parquet(spark, f"{path}/all.fbin", f"{path}/parquet", fixed=True)
+    return spark.read.parquet(f"{path}/parquet").select("row_id", "category", "year", "score")
+
+
 @register("parquet_fixed_bytes", _ALL)
 def parquet_fixed_bytes(spark, sf):
     """Vectors stored as bytes, with filter columns and a payload, in several files."""
-    @F.arrow_udf("binary")
-    def packed(v: pa.Array) -> pa.Array:
-        return pa.array([np.asarray(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
-
     path = fresh(spark, "fixed")
-    corpus(spark, sf).repartitionByRange(3, "row_id").sortWithinPartitions("row_id").withColumn("embedding", packed("embedding")).drop("row_id").write.parquet(path)
+    corpus(spark, sf).repartitionByRange(3, "row_id").sortWithinPartitions("row_id").transform(files.to_fixed).drop("row_id").write.parquet(path)
     return _totals(files.read_parquet(spark, path, payload="payload"))

@@ -126,6 +126,58 @@ def convert_vecs(source: str, target: str) -> int:
     return n
 
 
+def demonstration_columns(df: DataFrame) -> DataFrame:
+    """Adds category (16 values), year (2015 to 2024) and score (0 to 1), which follow from row_id alone."""
+    h = F.pmod(F.col("row_id") * 2654435761, F.lit(1 << 32))
+    return df.withColumns({"category": F.concat(F.lit("cat_"), (h % 16).cast("string")), "year": (2015 + F.floor(h / 16) % 10).cast("int"), "score": (h / float(1 << 32)).cast("float")})
+
+
+def vectors_to_parquet(spark: SparkSession, source: str, target: str, fixed: bool = False, half: bool = False) -> None:
+    """A vector file as Parquet with demonstration columns; with fixed, vectors become bytes of equal length."""
+    df = demonstration_columns(read_vectors(spark, source))
+    (to_fixed(df, half) if fixed else df).write.parquet(target)
+
+
+def to_fixed(df: DataFrame, half: bool = False, vector: str = "embedding") -> DataFrame:
+    """List vectors as bytes of 32-bit, or with half 16-bit, floats."""
+    width = "<f2" if half else "<f4"
+
+    @F.arrow_udf("binary")
+    def packed(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else np.asarray(x, width).tobytes() for x in v.to_pylist()], pa.binary())
+
+    return df.withColumn(vector, packed(vector))
+
+
+def database_to_fbin(database: str, table: str, column: str, target: str) -> int:
+    """A DuckDB table's vector column as a counted file, in rowid order."""
+    import duckdb
+
+    with duckdb.connect(database, read_only=True) as c, open(target, "wb") as f:
+        n, dim = c.execute(f'SELECT count(*), coalesce(max(len("{column}")), 0) FROM "{table}"').fetchall()[0]
+        f.write(struct.pack("<II", n, dim))
+        for a in range(0, n, 65536):
+            for (v,) in c.execute(f'SELECT "{column}" FROM "{table}" ORDER BY rowid LIMIT 65536 OFFSET {a}').fetchall():
+                if v is None or len(v) != dim:
+                    raise ValueError("vectors of different lengths")
+                f.write(np.asarray(v, "<f4").tobytes())
+    return n
+
+
+def hdf5_to_fbin(source: str, dataset: str, target: str) -> int:
+    """An HDF5 matrix as a counted file; needs h5py."""
+    try:
+        import h5py
+    except ImportError:
+        raise RuntimeError("reading HDF5 needs h5py") from None
+    with h5py.File(source) as h, open(target, "wb") as f:
+        x = h[dataset]
+        f.write(struct.pack("<II", *x.shape))
+        for a in range(0, x.shape[0], 65536):
+            f.write(np.asarray(x[a : a + 65536], "<f4").tobytes())
+    return x.shape[0]
+
+
 # --- Parquet -------------------------------------------------------------------------------------------------------
 
 
