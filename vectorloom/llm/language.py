@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.llm.common import small_batches
+
 ORDER = 4
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
 #: Every CALIBRATE-th text of the sample only calibrates the rejection.
 CALIBRATE = 5
-REJECT, REJECT_BITS = 8.0, 1.75
+REJECT, REJECT_BITS = 8.0, 3.25
 #: Bits that one character costs at most (unknown characters).
 UNKNOWN_BITS = 16.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +280,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
     share = max(1, sample // max(1, labelled.agg(F.count_distinct("lang")).first()[0]))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "lang").distinct()
-    rows = labelled.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(chosen, ["doc_id", "lang"], "left_semi").collect()
+    rows = labelled.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         samples.setdefault(r.lang, []).append(r.text)
@@ -287,6 +289,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of the input, and lang_pred, score (0 to 1), bits, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[str, Scorer] = {}
 
