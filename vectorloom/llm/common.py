@@ -15,6 +15,7 @@ BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +35,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         start = stop
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing at a time, so that stages of another kind free it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what an earlier stage kept in this worker process."""
+    _KEPT.clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows unless the session says otherwise: texts are long, and batches are held on both
+    sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def map_arrow(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow over bounded pieces; the kernel returns a batch of ``schema`` or None."""
 
@@ -44,6 +69,7 @@ def map_arrow(df: DataFrame, column: str, kernel: Callable[[pa.RecordBatch], pa.
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

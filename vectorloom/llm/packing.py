@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import slices, stored
+from vectorloom.llm.common import kept, slices, small_batches, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Pre-tokens that a worker remembers; beyond, it forgets them all and begins anew.
-MEMORY = 300_000
+#: Pre-tokens that a worker remembers.
+MEMORY = 200_000
 #: Bytes of text that are split at once.
 PIECE = 1 << 20
 #: The pre-tokens of byte-level BPE, for texts without characters that the re module classes otherwise.
@@ -60,6 +60,11 @@ class WordEncoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        #: ids of tokens that begin with a space
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.leads[i] = token[:1] == "\u0120"
 
     def _packed(self, ids: list[int]) -> bytes:
         found = array(self.code, ids)
@@ -67,6 +72,34 @@ class WordEncoder:
             found.byteswap()
         return found.tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Ids of the words that aren't known. Words met in one piece only are forgotten first."""
+        self.once -= words
+        if len(self.once) > MEMORY // 2:
+            for w in self.once:
+                del self.known[w]
+            self.once = set()
+        if len(self.known) > MEMORY:
+            self.known, self.once = {}, set()
+        new = words.difference(self.known)
+        self.once |= new
+        # a space and letters: such words in a row are split as they were, and each begins with its only space
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        rest = new.difference(plain)
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            ids = np.asarray(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, self.dtype)
+            begin = np.flatnonzero(self.leads[ids])
+            if len(begin) != len(some):
+                rest.update(some)
+                continue
+            data, width = ids.tobytes(), self.dtype.itemsize
+            edges = [*(begin * width).tolist(), len(data)]
+            self.known.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:])]))
+        rest = list(rest)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[w] = self._packed(e.ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out, parts = [b""] * len(texts), {}
         for i, t in enumerate(texts):
@@ -74,34 +107,20 @@ class WordEncoder:
                 parts[i] = _SPLIT(t)
             else:
                 out[i] = self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        self._learn(set().union(*parts.values()))
         known = self.known
-        new = list(set().union(*parts.values()).difference(known))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = self._packed(e.ids)
         for i, p in parts.items():
             out[i] = b"".join(map(known.__getitem__, p))
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """One a worker process, which serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``part``, ``first`` (tokens before it in its partition), ``n`` and ``ids`` as bytes, end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
+        part, before, encoder = TaskContext.get().partitionId(), 0, kept(("packing", path), lambda: WordEncoder(path))
         end = np.asarray([END_ID], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for batch in batches:
@@ -112,6 +131,7 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(first), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "first", "n", "ids"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     return source.mapInArrow(run, "doc_id long, part int, first long, n long, ids binary")
 
