@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorloom.llm import embeddings, language, media, packing, pages, pieces, pii, quality, simhash, substrings
+from vectorloom.llm import embeddings, language, media, oracles, packing, pages, pieces, pii, quality, simhash, substrings
 from vectorloom.llm.common import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_simhash": oracles.SIMHASH, "op4_embeddings": oracles.EMBEDDINGS, "op6_substrings": oracles.SUBSTRINGS}
