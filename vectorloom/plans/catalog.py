@@ -74,7 +74,6 @@ def normalize_rows(spark, sf):
 # --- predicates ----------------------------------------------------------------------------------------------------
 
 P = Predicate
-_KM = "2 * 6371.0 * atan2(sqrt(h), sqrt(greatest(0.0, 1 - h)))"
 _HAV = "(sin((radians(CAST(lat AS DOUBLE)) - radians(40.0)) / 2) ** 2 + cos(radians(CAST(lat AS DOUBLE))) * cos(radians(40.0)) * sin((radians(CAST(lng AS DOUBLE)) - radians(-121.8)) / 2) ** 2)"
 _RADIUS = f"2 * 6371.0 * atan2(sqrt({_HAV}), sqrt(greatest(0.0, 1 - {_HAV}))) <= 150.0"
 
