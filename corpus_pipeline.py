@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators: each stage reads what its predecessor wrote."""
+"""A corpus pipeline of five operators: each stage reads what its predecessor wrote.
+
+Defined results: rows with null or empty texts, or without a letter, end at the first stage; rows with a null id pass
+all stages, are duplicates of nothing and lose no passage; of repeated rows one stays; extra columns of documents are
+dropped; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
