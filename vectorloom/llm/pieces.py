@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import map_arrow
+from vectorloom.llm.common import kept, map_arrow
 
 MARK = "▁"
-MEMORY = 300_000
+MEMORY = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
@@ -184,14 +184,9 @@ class Codec:
         return (data[1:] if self.model.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One a worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept(("pieces", path), lambda: Codec(path))
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
