@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import small_batches
+from vectorloom.llm.common import forget, small_batches
 
 ORDER = 4
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
@@ -296,6 +296,7 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.arrow_udf("lang_pred string, score double, bits double, rejected boolean")
     def judged(column: pa.Array) -> pa.Array:
         if "scorer" not in cache:
+            forget()
             cache["scorer"] = Scorer(shared.value)
         scorer, m = cache["scorer"], shared.value
         texts = column.to_pylist()
