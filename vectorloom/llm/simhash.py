@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import checkpointed, map_arrow, maybe_broadcast, stored, whole_groups
+from vectorloom.llm.common import checkpointed, forget, map_arrow, maybe_broadcast, stored, whole_groups
 from vectorloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS = 512
 #: Of these, the first CHECK are carried to compare candidates.
-CHECK = 256
-RECALL = 0.99
+CHECK = 192
+RECALL = 0.998
 MEAN_BUCKET, CELL = 64, 2048
 #: Standard deviations that a similar pair's distance may lie above its mean, by the first CHECK bits and by all.
 SLACK = 3.2
@@ -116,6 +116,7 @@ def codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per document with an id: doc_id, digest of the text, number of shingles, SimHash."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        forget()
         digest, size, code = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
@@ -283,6 +284,15 @@ def class_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those of a class but its first; rows with null ids stay, and one of repeated rows."""
-    dropped = class_digest(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """The documents without those of a class but its first; rows with null ids stay, and one of repeated rows.
+
+    Only ids are brought together: texts travel if so many documents go that their ids can't be broadcast, or if ids are
+    repeated, and then those rows only."""
+    dropped = checkpointed(class_digest(docs).where(~F.col("kept")).select("doc_id").distinct())
+    kept = docs.join(maybe_broadcast(dropped, dropped.count(), 16), "doc_id", "left_anti")
+    repeated = checkpointed(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = repeated.count()
+    if not n:
+        return kept
+    repeated = maybe_broadcast(repeated, n, 16)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
