@@ -49,10 +49,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_brute_force(spark, monkeypatch, seed):
-    if seed == 2:
+    if seed >= 2:
         monkeypatch.setattr(substrings, "FLUSH", 40)
+    if seed == 3:
+        monkeypatch.setattr(substrings, "CELL", 5)
     rows = corpus(seed)
     assert digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == truth(rows)
 

@@ -10,7 +10,9 @@ several documents need a closer look:
    an anchor;
 2. about each repeated anchor, the 2 * LENGTH - GRAM bytes of context go to the anchor's bucket, once a task if equal;
    there, of every string of LENGTH bytes through the anchor, the least document id is found; a string whose least id is
-   smaller than its own document's is marked;
+   smaller than its own document's is marked. A bucket beyond ``CELL`` contexts (an anchor may end a passage that very
+   many documents go on from differently) is not gathered: its strings' hashes are brought together instead, each task
+   sending but the first of equal ones;
 3. marks return to their texts, which are cut.
 
 Texts are shuffled once: steps 2 and 3 read the same exchange. Equal texts are grouped first, and only the one with the
@@ -27,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import checkpointed, maybe_broadcast, whole_groups
+from vectorloom.llm.common import checkpointed, forget, maybe_broadcast, small_batches, whole_groups
 from vectorloom.llm.simhash import _INVERSE, _ODD, mixed
 
 LENGTH, GRAM = 50, 20
 #: Anchors that a task gathers before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Buckets of contexts for each partition, and contexts of one bucket that a task holds at once.
+FINE, CELL = 8, 200_000
 _WINDOWS = LENGTH - GRAM + 1
 _SIDE = LENGTH - GRAM
 _CONTEXT = 2 * LENGTH - GRAM
@@ -144,6 +149,7 @@ def _list_anchors(texts: DataFrame, shards: int) -> DataFrame:
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         parts, n = [], 0
         for batch in batches:
             for uid, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2))):
@@ -227,8 +233,12 @@ def _contexts(texts: DataFrame, shards: int) -> DataFrame:
         sent = first | ~later
         mark = rows[:, :4].copy().view(np.uint32)[:, 0]
         gram = np.ascontiguousarray(rows[:, 4 + _SIDE : 4 + _SIDE + GRAM])
-        bucket = (_row_hash(gram) % np.uint64(shards)).astype(np.int64)
-        out = list(_blobs(bucket[sent], 0, uid[sent], doc[sent], pos[sent], rows[sent]))
+        gram = _row_hash(gram)
+        bucket = (gram % np.uint64(FINE * shards)).astype(np.int64)
+        at = np.flatnonzero(sent)
+        at = at[np.argsort(gram[at], kind="stable")]  # alike contexts side by side are compressed best
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        out = [(*r[:6], squeeze(r[6])) for r in _blobs(bucket[at], 0, uid[at], doc[at], pos[at], rows[at])]
         out += list(_blobs(_sharded(uid[later & ~sent], shards), 1, uid[later & ~sent], doc[later & ~sent], pos[later & ~sent], mark[later & ~sent]))
         return _batch(out)
 
@@ -308,19 +318,102 @@ def string_marks(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mark
 
 
+def _entries(row: tuple) -> tuple[np.ndarray, ...]:
+    """uid, doc, pos and context rows of one blob."""
+    runs = np.frombuffer(row[4], np.uint32)
+    uid, doc = (np.repeat(np.frombuffer(row[i], np.int64), runs) for i in (2, 3))
+    return uid, doc, np.frombuffer(row[5], np.uint32), np.frombuffer(zstandard.ZstdDecompressor().decompress(row[6]), np.uint8).reshape(len(uid), 4 + _CONTEXT)
+
+
+def _strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, offset before the anchor, and hash of every string through an anchor."""
+    power, inverse = _powers(_CONTEXT + 1)
+    begin = _SIDE - np.arange(_WINDOWS)
+    total = np.zeros((len(rows), _CONTEXT + 1), np.uint64)
+    np.cumsum((rows[:, 4:].astype(np.uint64) + np.uint64(1)) * power[:_CONTEXT], axis=1, out=total[:, 1:])
+    h = mixed((total[:, begin + LENGTH] - total[:, begin]) * inverse[begin])
+    exists = rows[:, :4].copy().view(np.uint32)[:, 0]
+    i, a = np.nonzero(exists[:, None] >> np.arange(_WINDOWS, dtype=np.uint32) & np.uint32(1))
+    return i, a, h[i, a]
+
+
+_STRING = np.dtype([("a", "u1"), ("h", "<u8")])
+
+
+def _later(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have an equal hash with a smaller document id, and which are the first of theirs."""
+    order = np.lexsort((doc, h))
+    hs, ds = h[order], doc[order]
+    new = np.append(True, hs[1:] != hs[:-1])
+    late, first = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    late[order] = ds > ds[new][np.cumsum(new) - 1]
+    first[order] = new
+    return late, first
+
+
+def _spread(uid: np.ndarray, doc: np.ndarray, pos: np.ndarray, rows: np.ndarray, shards: int) -> Iterator[tuple]:
+    """A part of a large bucket, string by string: marks (kind 1) and the strings to be brought together (kind 2)."""
+    i, a, h = _strings(rows)
+    late, first = _later(h, doc[i])
+    m = np.flatnonzero(late)
+    yield from _blobs(_sharded(uid[i[m]], shards), 1, uid[i[m]], doc[i[m]], pos[i[m]], np.uint32(1) << a[m].astype(np.uint32))
+    m = np.flatnonzero(first | ~late)
+    what = np.empty(len(m), _STRING)
+    what["a"], what["h"] = a[m], h[m]
+    yield from _blobs((h[m] % np.uint64(shards)).astype(np.int64), 2, uid[i[m]], doc[i[m]], pos[i[m]], what)
+
+
 def _marked(blobs: DataFrame, shards: int) -> DataFrame:
-    """Marks by text (kind 1)."""
+    """Marks by text (kind 1), and strings of large buckets (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, n, large = None, [], 0, False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not parts:
+                return
+            uid, doc, pos, rows = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            if large:
+                for lo in range(0, len(uid), 20_000):
+                    yield _batch(list(_spread(uid[lo : lo + 20_000], doc[lo : lo + 20_000], pos[lo : lo + 20_000], rows[lo : lo + 20_000], shards)))
+                return
+            mark = string_marks(rows, doc)
+            at = np.flatnonzero(mark)
+            if len(at):
+                yield _batch(list(_blobs(_sharded(uid[at], shards), 1, uid[at], doc[at], pos[at], mark[at])))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[1] == 1:
+                    yield _batch([row])
+                    continue
+                if row[0] != bucket:
+                    yield from done()
+                    bucket, parts, n, large = row[0], [], 0, False
+                parts.append(_entries(row))
+                n += len(parts[-1][0])
+                if n >= CELL:
+                    large = True
+                    yield from done()
+                    parts, n = [], 0
+        yield from done()
+
+    return _gathered(blobs, shards).mapInArrow(run, _BLOB)
+
+
+def _settled(blobs: DataFrame, shards: int) -> DataFrame:
+    """Marks by text (kind 1): those found before, and those of strings brought together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, rows=1):
-            out = [tuple(chunk.column(c)[i].as_py() for c in _BLOB_NAMES) for i, k in enumerate(chunk.column("kind").to_pylist()) if k == 1]
-            uid, doc, pos, what = _joined(chunk, 0, np.uint8)
+            rows = [tuple(chunk.column(c)[i].as_py() for c in _BLOB_NAMES) for i, k in enumerate(chunk.column("kind").to_pylist()) if k == 1]
+            uid, doc, pos, what = _joined(chunk, 2, _STRING)
             if len(uid):
-                mark = string_marks(what.reshape(len(uid), 4 + _CONTEXT), doc)
-                at = np.flatnonzero(mark)
-                out += list(_blobs(_sharded(uid[at], shards), 1, uid[at], doc[at], pos[at], mark[at]))
-            if out:
-                yield _batch(out)
+                late, _ = _later(what["h"], doc)
+                at = np.flatnonzero(late)
+                rows += list(_blobs(_sharded(uid[at], shards), 1, uid[at], doc[at], pos[at], np.uint32(1) << what["a"][at].astype(np.uint32)))
+            if rows:
+                yield _batch(rows)
 
     return _gathered(blobs, shards).mapInArrow(run, _BLOB)
 
@@ -340,6 +433,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
 
     ``text`` is what stays as characters: those that a cut splits are left out."""
     spark = docs.sparkSession
+    small_batches(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc"), body.cast("binary").alias("body"), (F.lit(0) if carry is None else carry).alias("carry"))
@@ -351,12 +445,13 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     spots = _by_text(_repeated(_list_anchors(searched, shards), shards), shards, None)
     # carry is passed along unused, so that both readers of the exchange want the same columns
     about = spread.join(spots.select("uid", "pos").hint("shuffle_hash"), "uid").select("uid", "doc", "body", "pos", "carry")
-    marks = _by_text(_marked(_contexts(about, shards), shards), shards, np.uint32)
+    marks = _by_text(_settled(_marked(_contexts(about, shards), shards), shards), shards, np.uint32)
     known = first.select("uid").distinct().withColumn("first", F.lit(True)).join(marks.withColumnRenamed("what", "mark"), "uid", "left")
     found = spread.join(known.hint("shuffle_hash"), "uid", "left")
 
     @F.arrow_udf("n_removed long, n_spans long, spans array<long>, kept binary, text string")
     def removed(body: pa.Array, pos: pa.Array, mark: pa.Array, whole: pa.Array) -> pa.Array:
+        forget()
         n_removed, n_spans, spans, kept, text = [], [], [], [], []
         for data, p, m, w in zip(_bytes_of(body), pos.to_pylist(), mark.to_pylist(), whole.to_pylist()):
             if w:
