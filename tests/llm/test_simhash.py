@@ -82,3 +82,26 @@ def test_awkward_texts(spark):
     kept = simhash.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5]
     assert simhash.classes(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("cell", [2048, 6])
+def test_short_texts_at_the_threshold(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(3)
+    rows = []
+    for n in (8, 8, 8, 8, 8, 12, 16, 40, 44, 48) * 12:
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        # n - 4 shingles, and a quarter more
+        rows += [words, words + [f"v{rng.randrange(10**6)}" for _ in range((n - 4) // 4)]]
+    rows = list(enumerate(" ".join(w) for w in rows))
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_tables_follow_the_true_agreement():
+    assert simhash.disagreement(4, 0, 1) == 0.1875
+    rng = np.random.default_rng(1)
+    differ = [(simhash.simhash(h[:40]) != simhash.simhash(h)).mean() for h in rng.integers(0, 1 << 63, (200, 50), dtype=np.uint64)]
+    assert abs(np.mean(differ) - simhash.disagreement(40, 0, 10)) < 0.004
+    for n in (10_000, 30_000_000):
+        assert simhash.found(*simhash.plan(n), simhash.miss(0.8)) >= simhash.RECALL

@@ -4,8 +4,12 @@ A document is the set of its five-word shingles (words between ASCII white space
 SimHash has ``BITS`` bits: signs of the sums, over its shingles, of that many pseudo-random signs. Each of several
 tables samples ``bits`` of these coordinates; documents that agree on all of them share a bucket. How many coordinates a
 table samples follows from the number of texts, and how many tables there are from the probability that two documents
-of the threshold similarity agree on a coordinate, so that such a pair is missed by all tables in at most
-``1 - RECALL`` of the cases.
+of the threshold similarity agree on a coordinate, so that such a pair is missed by all tables or lost to the filters
+in at most ``1 - RECALL`` of the cases.
+
+Texts of few shingles don't follow the angle formula, so pairs of which one has at most ``SHORT`` are found exactly: two
+sets of the threshold similarity share one of the smallest ``n - ceil(threshold n) + 1`` of their n hashes, and texts that
+share one are compared by their whole sets.
 
 Equal texts are grouped first, and one stands for all. Buckets beyond ``CELL`` rows are not cut short: they are split
 by a hash of the code's further coordinates, and so that no pair is lost, each pair of parts becomes a cell of its own. Within a cell, pairs whose codes differ in no more coordinates than a similar pair may are candidates;
@@ -21,7 +25,9 @@ id of a class names it; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
+from math import ceil, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +42,11 @@ BITS = 512
 #: Of these, the first CHECK are carried to compare candidates.
 CHECK = 192
 RECALL = 0.998
+#: Pairs whose smaller set has at most so many shingles are found by shared shingles.
+SHORT = 40
 MEAN_BUCKET, CELL = 64, 2048
 #: Standard deviations that a similar pair's distance may lie above its mean, by the first CHECK bits and by all.
-SLACK = 3.2
+SLACK = 4.0
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -95,16 +103,62 @@ def agreement(similarity: float) -> float:
     return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
+@cache
+def _sums(n: int) -> np.ndarray:
+    """The probabilities of the sums -n..n of n random signs."""
+    p = np.ones(1)
+    for _ in range(n):
+        p = np.convolve(p, [0.5, 0.0, 0.5])
+    return p
+
+
+def disagreement(common: int, a: int, b: int) -> float:
+    """The probability that sets with so many common and own elements differ in a coordinate; ties give zeros."""
+    at = np.arange(-common, common + 1)
+
+    def positive(k: int) -> np.ndarray:
+        above = np.append(np.cumsum(_sums(k)[::-1])[::-1], 0.0)
+        return above[np.clip(k + 1 - at, 0, 2 * k + 1)]
+
+    p, q = positive(a), positive(b)
+    return float((_sums(common) * (p * (1 - q) + q * (1 - p))).sum())
+
+
+@cache
+def miss(threshold: float) -> float:
+    """The largest probability that a pair of the threshold similarity and more than SHORT shingles differs in a coordinate."""
+    most = 1 - agreement(threshold)
+    for m in range(SHORT + 1, 2 * SHORT + 1):
+        for n in range(m, int(m / threshold + 1e-9) + 1):
+            common = ceil(threshold * (m + n) / (1 + threshold) - 1e-9)
+            if common <= m:
+                most = max(most, disagreement(common, m - common, n - common))
+    return most
+
+
+def found(bits: int, tables: int, differ: float, threshold: float = THRESHOLD) -> float:
+    """The probability that a pair that differs in a coordinate with this probability shares a bucket and passes the
+    filter by whole codes. The tables sample the same coordinates, so it is a mean over the distance."""
+    d = np.arange(min(BITS, farthest(BITS, threshold)) + 1)
+    ways = np.array([lgamma(BITS + 1) - lgamma(k + 1) - lgamma(BITS - k + 1) for k in d])
+    weight = np.exp(ways + d * np.log(differ) + (BITS - d) * np.log1p(-differ))
+    agree = np.prod([np.maximum(BITS - d - i, 0) / (BITS - i) for i in range(bits)], axis=0)
+    return float((weight * (1 - (1 - agree) ** tables)).sum())
+
+
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """How many coordinates a table samples, and how many tables there are."""
     bits = int(np.clip(np.ceil(np.log2(max(2, n) / MEAN_BUCKET)), 4, 40))
-    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - agreement(threshold) ** bits)))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - miss(threshold)) ** bits)))
+    while found(bits, tables, miss(threshold), threshold) < recall:
+        tables += max(1, tables // 100)
+    return bits, tables
 
 
 def farthest(bits: int, threshold: float) -> int:
     """In how many of so many coordinates a pair of the threshold similarity may differ."""
-    miss = 1 - agreement(threshold)
-    return int(bits * miss + SLACK * np.sqrt(bits * miss * (1 - miss)))
+    differ = miss(threshold)
+    return int(bits * differ + SLACK * np.sqrt(bits * differ * (1 - differ)))
 
 
 def _samples(bits: int, tables: int) -> np.ndarray:
@@ -112,21 +166,23 @@ def _samples(bits: int, tables: int) -> np.ndarray:
     return np.stack([rng.permutation(BITS)[:bits] for _ in range(tables)])
 
 
-def codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with an id: doc_id, digest of the text, number of shingles, SimHash."""
+def codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per document with an id: doc_id, digest of the text, number of shingles, SimHash, and of few shingles their hashes."""
+    few = int(SHORT / threshold + 1e-9)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         forget()
-        digest, size, code = [], [], []
+        digest, size, code, hashes = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
             digest.append(blake2b((text or "").encode(), digest_size=16).digest())
             size.append(len(s))
             code.append(np.packbits(simhash(s)).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(code, pa.binary())], ["doc_id", "digest", "size", "code"])
+            hashes.append(_packed(s) if 0 < len(s) <= few else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(code, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "digest", "size", "code", "hashes"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    return map_arrow(source, "body", kernel, "doc_id long, digest binary, size int, code binary")
+    return map_arrow(source, "body", kernel, "doc_id long, digest binary, size int, code binary, hashes binary")
 
 
 def _emit(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -142,7 +198,7 @@ def _emit(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
         short = pa.array([r.tobytes() for r in packed[:, : CHECK // 8]], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows), short.take(rows)], ["key", "id", "size", "code"])
 
-    return map_arrow(distinct.where("size > 0").select("id", "size", "code"), "code", kernel, "key long, id long, size int, code binary")
+    return map_arrow(distinct.where(F.col("size") > SHORT).select("id", "size", "code"), "code", kernel, "key long, id long, size int, code binary")
 
 
 def _celled(rows: DataFrame) -> DataFrame:
@@ -228,7 +284,7 @@ def _near(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
         return batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1) <= most))
 
-    code = distinct.select("id", "code").where("size > 0")
+    code = distinct.select("id", "code").where(F.col("size") > SHORT)
     both = pairs.join(code.select(F.col("id").alias("u"), F.col("code").alias("a")), "u").join(code.select(F.col("id").alias("v"), F.col("code").alias("b")), "v").select("u", "v", "a", "b")
     return map_arrow(both, "a", compare, "u long, v long")
 
@@ -244,6 +300,74 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.unique(wide.view(">u8").ravel().astype(np.uint64))
 
 
+def _short(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold, of texts of few shingles: a spanning forest of each cell's."""
+
+    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, rows = [], []
+        for row, data in enumerate(batch.column(2).to_pylist()):
+            h = _unpacked(data)
+            some = h[: len(h) - ceil(threshold * len(h) - 1e-9) + 1]
+            keys.append(some.astype(np.int64))
+            rows.append(np.full(len(some), row))
+        rows = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(i).take(rows) for i in range(3))], ["key", "id", "size", "code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches):
+            cell, ids, side = (chunk.column(c).to_numpy() for c in ("cell", "id", "side"))
+            codes_ = chunk.column("code")
+            edges = np.flatnonzero(np.diff(cell)) + 1
+            out_u, out_v = [], []
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(cell)).tolist()):
+                if b - a < 2:
+                    continue
+                sets = [_unpacked(x.as_py()) for x in codes_[a:b]]
+                for i, j in _reaching(sets, ids[a:b], side[a:b], threshold):
+                    out_u.append(min(ids[a + i], ids[a + j]))
+                    out_v.append(max(ids[a + i], ids[a + j]))
+            if out_u:
+                yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
+
+    rows = map_arrow(distinct.where("hashes IS NOT NULL").select("id", "size", "hashes"), "hashes", prefixes, "key long, id long, size int, code binary")
+    ordered = _celled(rows).select("cell", "id", "side", "code").repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
+def _reaching(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (by position) that reach the threshold; common elements are counted by lists of who has each."""
+    n = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = flat.argsort(kind="stable")
+    held = owner[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.searchsorted(flat[order], flat)
+    ends = np.cumsum(n)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i in range(1, len(sets)):
+        own = slice(ends[i] - n[i], ends[i])
+        # those before i in each list
+        many = place[own] - first[own]
+        at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(held[at], minlength=i)
+        near = (common >= threshold * (n[i] + n[:i] - common)) & (ids[:i] != ids[i]) & ((side[:i] == 0) | (side[:i] != side[i]))
+        for j in np.flatnonzero(near).tolist():
+            r, s = root(i), root(j)
+            if r != s:
+                parent[max(r, s)] = min(r, s)
+                out.append((j, i))
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose shingle sets reach the threshold. Only texts of candidates travel."""
     involved = checkpointed(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
@@ -268,12 +392,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest id of the class), one row a document."""
-    coded = stored(codes(docs, id_col, text_col))
-    distinct = stored(coded.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("code").alias("code")))
-    bits, tables = plan(distinct.count(), threshold)
+    coded = stored(codes(docs, id_col, text_col, threshold))
+    distinct = stored(coded.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("code").alias("code"), F.first("hashes").alias("hashes")))
+    bits, tables = plan(distinct.where(F.col("size") > SHORT).count(), threshold)
     pairs = checkpointed(_near(checkpointed(_candidates(_celled(_emit(distinct, bits, tables)), threshold)), distinct, threshold))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    grouped = checkpointed(components(_verified(pairs, texts, threshold)))
+    grouped = checkpointed(components(_verified(pairs, texts, threshold).unionByName(_short(distinct, threshold))))
     classed = coded.select("doc_id", "digest").join(distinct.select("digest", "id"), "digest").join(grouped.withColumnRenamed("node", "id"), "id", "left")
     single = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return classed.select("doc_id", F.coalesce("component", "id").alias("class_id")).union(single)
