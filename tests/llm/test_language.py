@@ -72,3 +72,12 @@ def test_awkward_texts(spark):
     assert language.language_digest(empty(spark)).count() == 0
     nothing = awkward(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in language.language_digest(nothing).collect()} == {"und"}
+
+
+def test_languages_of_few_texts_reject(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr' AND length(text) > 500").orderBy("doc_id").limit(12).collect()
+    for few in (1, 2, 8):
+        model = language.fit({"fr": [r.text for r in rows[:few]]})
+        assert np.isfinite(model.mean).all()
+        odd = spark.createDataFrame([(1, "Съешь же ещё этих мягких французских булок " * 5), (2, rows[11].text), (3, rows[0].text)], "doc_id long, text string")
+        assert [r.rejected for r in language.predict(odd, model).orderBy("doc_id").collect()] == [True, False, False]

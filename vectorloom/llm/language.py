@@ -8,7 +8,8 @@ one logarithm a language; a second array holds the back-off weights of contexts.
 mean cross-entropy in bits a character; the lowest wins. A text is rejected where its cross-entropy lies further above
 the mean of that language's calibration texts (a part of the sample on which nothing is counted) than ``REJECT``
 deviations, the deviation shrinking with the text's length as measured there, and than ``REJECT_BITS``, so that texts
-of a learned language with foreign or broken passages are kept.
+of a learned language with foreign or broken passages are kept. Of a language with few texts everything is counted, and
+each text is calibrated by a model of its others (a single text's halves by each other).
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; ties go to the first language
 in sorted order; rows without a language or id aren't learned from, but null ids are predicted; with nothing to learn
@@ -175,18 +176,44 @@ def _stacked(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     """The model of texts by language; every CALIBRATE-th is kept for calibration where there are enough."""
     languages = sorted(samples)
-    fitted, held = [], []
+    fitted, held, crossed = [], [], []
     for name in languages:
         codes = [c for c in map(code_points, samples[name]) if len(c)]
         keep = codes[::CALIBRATE] if len(codes) >= 4 * CALIBRATE else []
         held.append(keep)
         learn = [c for i, c in enumerate(codes) if i % CALIBRATE] if keep else codes
-        fitted.append(kneser_ney([np.concatenate([np.full(order - 2, 32, np.uint32), c]) for c in learn], order) if learn else None)
+        crossed.append([] if keep or not learn else _crossed(learn, order))
+        fitted.append(_counted(learn, order) if learn else None)
     languages = [x for x, f in zip(languages, fitted) if f]
     held = [x for x, f in zip(held, fitted) if f]
+    crossed = [x for x, f in zip(crossed, fitted) if f]
     fitted = [f for f in fitted if f]
     if not languages:
         return Model([], order, [], [], [], [])
+    model = _model(languages, fitted, order)
+    calibrate(model, held, crossed)
+    return model
+
+
+def _counted(texts: list[np.ndarray], order: int) -> tuple[list, list]:
+    return kneser_ney([np.concatenate([np.full(order - 2, 32, np.uint32), c]) for c in texts], order)
+
+
+def _crossed(codes: list[np.ndarray], order: int) -> list[tuple[np.ndarray, float]]:
+    """Texts of a language that has few, each with its bits by a model of the others."""
+    if len(codes) == 1:
+        mid = len(codes[0]) // 2
+        # too short to be halved: by itself
+        codes = [codes[0][:mid], codes[0][mid:]] if mid >= order else codes * 2
+    folds = min(CALIBRATE, len(codes))
+    out = []
+    for k in range(folds):
+        scorer = Scorer(_model([""], [_counted([c for i, c in enumerate(codes) if i % folds != k], order)], order))
+        out += [(c, float(scorer.bits([c])[0, 0])) for c in codes[k::folds]]
+    return out
+
+
+def _model(languages: list[str], fitted: list[tuple[list, list]], order: int) -> Model:
     contexts, weights = [], []
     for k in range(order - 1):
         h, t = _stacked([f[1][k] for f in fitted])
@@ -199,9 +226,7 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
         logs.append(t)
     # -inf marks a string that a language lacks: scoring then backs off
     logs = [np.where(np.isnan(t), -np.inf, np.log2(t, where=t > 0, out=np.zeros_like(t))).astype(np.float32) for t in logs]
-    model = Model(languages, order, strings, logs, contexts, weights)
-    calibrate(model, held)
-    return model
+    return Model(languages, order, strings, logs, contexts, weights)
 
 
 class Scorer:
@@ -253,15 +278,16 @@ class Scorer:
         return out
 
 
-def calibrate(model: Model, held: list[list[np.ndarray]]) -> None:
+def calibrate(model: Model, held: list[list[np.ndarray]], crossed: list[list[tuple[np.ndarray, float]]]) -> None:
     """Mean and deviation of each language's cross-entropy on texts that weren't counted."""
     count = len(model.languages)
     model.mean, model.spread, model.between = np.full(count, np.inf), np.ones(count), np.ones(count)
     scorer = Scorer(model)
     for j, texts in enumerate(held):
-        if not texts:
-            continue
-        bits = np.concatenate([scorer.bits(texts[i : i + 200])[:, j] for i in range(0, len(texts), 200)])
+        if texts:
+            bits = np.concatenate([scorer.bits(texts[i : i + 200])[:, j] for i in range(0, len(texts), 200)])
+        else:
+            texts, bits = [c for c, _ in crossed[j]], np.array([b for _, b in crossed[j]])
         n = np.array([len(t) for t in texts], float)
         model.mean[j] = np.average(bits, weights=n)
         # robust against foreign and broken texts among the labelled ones
