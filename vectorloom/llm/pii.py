@@ -6,7 +6,8 @@ cloud access keys, ``password=``/``token =`` values, and names behind a title or
 A surrogate is drawn from a keyed SHA-256 of the entity's normal form (letter case, spaces and punctuation aside), so
 one entity gets one surrogate wherever and however it is written, and keeps its form: digits stay digits, letters keep
 script and case, card numbers keep their first digit and a right check digit, phone numbers their country code, given
-names their gender and script. Punctuation is that of the occurrence.
+names their gender and script. Known given names are permuted; for others one is made of syllables, of another ending by
+gender. Punctuation is that of the occurrence.
 
 Collision checks: the distinct entities of all documents (found with map-side combining) get their surrogates; if two
 share one, or one is itself an entity of the corpus, later ones draw again, until none is left. Only these exceptions,
@@ -128,10 +129,14 @@ def _luhn(body: str) -> str:
 
 
 def _rotated(names: list[str], w: str, attempt: str, key_of: str) -> str:
-    """A permutation of the list; a name outside gets one of the list by its hash."""
+    """A permutation of the list; for a name outside one is made, never one of a list: long, and by gender with a vowel or
+    a consonant at the end."""
     shift = 1 + sum(map(ord, KEY + key_of)) % (len(names) - 1)
-    at = f"CASE WHEN array_contains({_array(names)}, {w}) THEN cast(array_position({_array(names)}, {w}) as int) - 1 + {shift} ELSE {_byte(_stream(_q(key_of), w, attempt), '0')} END"
-    return f"{_array(names)}[({at}) % {len(names)}]"
+    script, gender = key_of.split("_")
+    made = f"array_join(transform(sequence(0, 3 + {attempt}), k -> {_array(_SYLLABLES[script])}[{_byte(_stream(_q(key_of), w, attempt), 'k')} % 32]), '')"
+    if gender == "m":
+        made = f"concat({made}, '{'n' if script == 'latin' else 'н'}')"
+    return f"CASE WHEN array_contains({_array(names)}, {w}) THEN {_array(names)}[(cast(array_position({_array(names)}, {w}) as int) - 1 + {shift}) % {len(names)}] ELSE initcap({made}) END"
 
 
 def _surname(w: str, h: str, attempt: str) -> str:
@@ -188,13 +193,13 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select(F.explode("found").alias("m")).select(F.explode(F.expr(_parts("m"))).alias("p")).select("p.kind", "p.norm").distinct()
 
 
-#: Their surrogates come from short lists, which must not be made distinct: given names are shared by people.
-_SHARED = ("given_f", "given_m")
+#: Known given names are permuted within their lists, so they can't collide.
+_PERMUTED = " OR ".join(f"kind = 'given_{g}' AND array_contains({_array(GIVEN[f'latin_{g}'] + GIVEN[f'cyrillic_{g}'])}, norm)" for g in "fm")
 
 
 def exceptions(found: DataFrame, rounds: int = 20) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogates collide with another's or with an entity."""
-    now = checkpointed(found.where(~F.col("kind").isin(*_SHARED)).withColumn("attempt", F.lit(0)))
+    now = checkpointed(found.where(f"NOT ({_PERMUTED})").withColumn("attempt", F.lit(0)))
     for _ in range(rounds):
         made = now.withColumn("made", F.expr(surrogate_sql("kind", "norm", "attempt")))
         # who drew it first keeps it; entities themselves are always first
