@@ -101,8 +101,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """A broadcast hint only if the counted rows are known to fit under the limit; else a shuffled join."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    """A broadcast hint only if the counted rows, with what a hash table takes a row, are known to fit under the limit; else
+    a shuffled join."""
+    return F.broadcast(df) if rows * (row_bytes + 64) <= limit else df
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 4096) -> Iterator[pa.Table]:
