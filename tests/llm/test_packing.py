@@ -14,7 +14,6 @@ def direct(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -47,10 +46,25 @@ def test_table(spark, small):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     by_doc = check(packing.pieces_digest(docs.repartition(5), PATH).collect(), rows)
     assert len(by_doc) == len(rows)
+    for p in packing.pack(docs.repartition(5), PATH).collect():
+        assert np.frombuffer(p.ids, "<u4").size == p.length
 
 
 def test_pretokens_of_odd_characters():
     e = packing.WordEncoder(PATH)
     texts = ["x² ½ Ⅷ a\x1cb \x85 c", "don't  stop\n\n \t it's_a __ 12,5 ٣٤ naïve e\u0301", " \u3000 wide\xa0space", "a\x1fb", "’s 's'S"]
-    for got, want in zip(e.encode(texts), direct(texts)):
-        assert np.frombuffer(got, e.dtype).tolist() == want[:-1]
+    texts += ["hello <|endoftext|> world and", "  a b", "a  b c", "a \n b c", "one two\n three four", "a b ", "a b c\n", "a\xa0 b c", "x\x85 y z", "\n\n a b\n\nc d ", "\U0001d400 \U0001f600 bold x", "a\u180e b c"]
+    for _ in range(2):
+        for got, want in zip(e.encode(texts), direct(texts)):
+            assert np.frombuffer(got, e.dtype).tolist() == want[:-1]
+
+
+def test_forgetting_changes_nothing(monkeypatch, small):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(packing, "MEMORY", 300)
+    e = packing.WordEncoder(PATH)
+    texts = [t or "" for t in pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()]
+    for at in range(0, len(texts), 7):
+        for got, want in zip(e.encode(texts[at : at + 7]), direct(texts[at : at + 7])):
+            assert np.frombuffer(got, e.dtype).tolist() == want[:-1]

@@ -5,8 +5,10 @@ shared folder, and sums the tokens of each partition. The running sums of those
 document its global offset; pass two cuts the stream at multiples of the window, and a document that crosses a cut
 yields one boundary record a window.
 
-Words repeat far more often than texts, so each worker remembers the ids of pre-tokens it has met (a bounded memory);
-the tokenizers library encodes those it hasn't. A pre-token is encoded alike alone and within a text.
+Words repeat far more often than texts, so each worker remembers the ids of what it has met between single spaces, and
+of the words in it (two bounded memories); the tokenizers library encodes those it hasn't. A pre-token ends wherever a
+space follows a character that is not white space, so such a stretch is encoded alike alone and within a text; texts
+with other spaces, or with a special token's own text, are encoded whole.
 
 Defined results: a null text counts as empty and yields the end token alone; null ids and repeated rows are packed like
 any other row; no rows, no pieces; other columns are not looked at.
@@ -19,19 +21,21 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from vectorloom.llm.common import kept, slices, small_batches, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Pre-tokens that a worker remembers.
-MEMORY = 200_000
+#: Stretches, and words, that a worker remembers.
+MEMORY = 800_000
 #: Bytes of text that are split at once.
 PIECE = 1 << 20
 #: The pre-tokens of byte-level BPE, for texts without characters that the re module classes otherwise.
@@ -46,21 +50,41 @@ def _odd_characters() -> str:
     return "[" + "".join(odd) + "\x1c-\x1f\x85\u180e]"
 
 
+class Memory:
+    """A bounded table of what is known; when full, entries met in one piece only are forgotten first, then all."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.once = most, {}, set()
+
+    def lacking(self, wanted: set) -> set:
+        """Those that are to be learned now."""
+        if len(self.once) > self.most // 2:
+            for w in self.once - wanted:
+                del self.known[w]
+            self.once = set()
+        if len(self.known) > self.most:
+            self.known, self.once = {}, set()
+        self.once -= wanted
+        new = wanted.difference(self.known)
+        self.once |= new
+        return new
+
+
 class WordEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library by way of their distinct pre-tokens."""
+    """Encodes texts with a byte-level BPE of the tokenizers library by way of their distinct words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.odd = re.compile(_odd_characters()).search
-        self.wide = re.compile("[\U00010000-\U0010ffff]").search
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words come once
+        self.odd = re.compile(_odd_characters() + "|[\U00010000-\U0010ffff]").search
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
-        self.known: dict[str, bytes] = {}
-        self.once: set[str] = set()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words, self.stretches = Memory(MEMORY), Memory(MEMORY)
         #: ids of tokens that begin with a space
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -72,48 +96,76 @@ class WordEncoder:
             found.byteswap()
         return found.tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Ids of the words that aren't known. Words met in one piece only are forgotten first."""
-        self.once -= words
-        if len(self.once) > MEMORY // 2:
-            for w in self.once:
-                del self.known[w]
-            self.once = set()
-        if len(self.known) > MEMORY:
-            self.known, self.once = {}, set()
-        new = words.difference(self.known)
-        self.once |= new
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn_words(self, wanted: set[str]) -> None:
+        new, known = self.words.lacking(wanted), self.words.known
         # a space and letters: such words in a row are split as they were, and each begins with its only space
         plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
         rest = new.difference(plain)
         for at in range(0, len(plain), 4000):
             some = plain[at : at + 4000]
-            ids = np.asarray(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, self.dtype)
+            (found,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.asarray(found.ids, self.dtype)
             begin = np.flatnonzero(self.leads[ids])
             if len(begin) != len(some):
                 rest.update(some)
                 continue
             data, width = ids.tobytes(), self.dtype.itemsize
             edges = [*(begin * width).tolist(), len(data)]
-            self.known.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:])]))
+            known.update(zip(some, [data[a:b] for a, b in zip(edges, edges[1:])]))
         rest = list(rest)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[w] = self._packed(e.ids)
+        for at in range(0, len(rest), 4000):
+            some = rest[at : at + 4000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = self._packed(e.ids)
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Ids of stretches as they are behind a space; None if a space after it could be part of the same token."""
+        split, plain = {}, []
+        new, known = self.stretches.lacking(wanted), self.stretches.known
+        for s in new:
+            if s.isalpha() and (s.isascii() or not self.odd(s)):
+                plain.append(s)
+            elif not s or _open(s):
+                known[s] = None
+            elif self.odd(s):
+                known[s] = self._whole(" " + s)
+            else:
+                split[s] = _SPLIT(" " + s)
+        self._learn_words({" " + s for s in plain}.union(*split.values()))
+        words = self.words.known
+        for s in plain:
+            known[s] = words[" " + s]
+        for s, p in split.items():
+            known[s] = b"".join([words[w] for w in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, parts = [b""] * len(texts), {}
         for i, t in enumerate(texts):
-            if t.isascii() and not ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) or not (self.odd(t) or self.wide(t)):
-                parts[i] = _SPLIT(t)
-            else:
-                out[i] = self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            p = t.split(" ")
+            if len(p) > 2 and p[0] and not _open(p[0]) and not any(x in t for x in self.specials):
+                parts[i] = p
+            elif t:
+                out[i] = self._whole(t)
         self._learn(set().union(*parts.values()))
-        known = self.known
+        known = self.stretches.known.__getitem__
         for i, p in parts.items():
-            out[i] = b"".join(map(known.__getitem__, p))
+            # the first has no space before it, and none follows the last
+            head, tail = self._whole(p[0]), self._whole(" " + p[-1])
+            try:
+                out[i] = b"".join([head, *map(known, p[1:-1]), tail])
+            except TypeError:  # other spaces than single ones between words
+                out[i] = self._whole(texts[i])
         return out
 
 
+def _open(stretch: str) -> bool:
+    """Whether a space behind it could belong to a token with its end."""
+    return stretch[-1].isspace() or stretch[-1] in "\x85\u180e"
+
+
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``part``, ``first`` (tokens before it in its partition), ``n`` and ``ids`` as bytes, end token included."""
 
@@ -136,17 +188,19 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, "doc_id long, part int, first long, n long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (32-bit little-endian bytes), doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    encoded = stored(encode_ids(docs, path))
-    # One row a partition of the scan, not of the data.
-    totals = encoded.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+def _begins(encoded: DataFrame) -> dict[int, int]:
+    """The tokens before each partition: one row a partition of the scan, not of the data, reaches the driver."""
     begins, at = {}, 0
-    for row in totals:
+    for row in encoded.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         begins[row["part"]] = at
         at += row["n"]
-    shared = spark.sparkContext.broadcast(begins)
+    return begins
+
+
+def _cut(encoded: DataFrame, window: int, last: str, kind: pa.DataType, make: Callable[[bytes], object]) -> DataFrame:
+    """The pieces of the stream, with what ``make`` gives of each piece's ids (32-bit little-endian) as the last column."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_begins(encoded))
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [(last, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,12 +213,19 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     while done < n:
                         sequence, offset = divmod(begin + done, window)
                         length = min(n - done, window - offset)
-                        rows.append((doc, done, length, words[done : done + length].tobytes(), n, sequence, offset))
+                        rows.append((doc, done, length, n, sequence, offset, make(words[done : done + length].tobytes())))
                         done += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return encoded.select("doc_id", "part", "first", "n", "ids").mapInArrow(run, from_arrow_schema(schema))
 
-    return encoded.select("doc_id", "part", "first", "n", "ids").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian bytes)."""
+    return _cut(stored(encode_ids(docs, path)), window, "ids", pa.binary(), bytes)
 
 
 def pieces_digest(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    return pack(docs, path, window).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces with the checksum of their ids; the ids themselves don't travel."""
+    cut = _cut(stored(encode_ids(docs, path)), window, "ids_crc32", pa.int64(), crc32)
+    return cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
