@@ -60,3 +60,38 @@ def test_unigram_model(tmp_path):
         ids, parity = c.encode([text])[0]
         assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text) and parity
         assert c.decode(np.frombuffer(ids, "<u4")) == text
+
+
+def test_a_normalising_model_is_compared_text_by_text(tmp_path):
+    """The model's own normaliser flag: runs of spaces become one; parity is then asked for whole texts."""
+    data = open(PATH, "rb").read()
+    m = pieces.parse_model(PATH)
+    path = tmp_path / "extra.model"
+    # a later field of a message overrides: the normaliser with remove_extra_whitespaces on
+    path.write_bytes(data + b"\x1a\x02\x20\x01")
+    assert not m.remove_extra and pieces.parse_model(str(path)).remove_extra
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    c = pieces.Codec(str(path))
+    for text in ("a  b", " lead and trail ", "plain words"):
+        ids, same = c.encode([text])[0]
+        assert same == (np.frombuffer(ids, "<u4").tolist() == sp.encode(text))
+    c.oracle = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert not c.encode(["a  b"])[0][1]
+
+
+def test_runs_of_spaces_and_odd_texts(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = ["a  b", " a", "a ", "  ", " ", "x \n  y", "if x:\n    return  y\n", "a\0b  c", "\0", "l\u2581x y", "plain words here", "plain words  here", ""]
+    monkeypatch.setattr(pieces, "MEMORY", 4)
+    c = pieces.Codec(PATH)
+    for _ in range(3):
+        for text, (ids, same) in zip(texts, c.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text) and same, text
+
+
+def test_unlike_chunks_are_reported(monkeypatch):
+    c = pieces.Codec(PATH)
+    real = c._expected
+    monkeypatch.setattr(c, "_expected", lambda chunks: [[7] if "odd" in x else y for x, y in zip(chunks, real(chunks))])
+    assert [same for _, same in c.encode(["an odd one", "another", "two  odd"])] == [False, True, False]
+    assert [same for _, same in c.encode(["odd", "another"])] == [False, True]

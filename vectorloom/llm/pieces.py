@@ -6,8 +6,9 @@ each piece into two pieces, ranked by the piece's score. Byte fallback and the m
 
 No piece has a marker after another character, and a newline is no part of any piece of such a model (both are tested
 when the model is loaded), so a text's encoding is the concatenation of its chunks' encodings. Each worker encodes the
-distinct chunks it hasn't met in one multithreaded batch, verifies them against the sentencepiece library, and
-remembers them (a bounded memory).
+distinct chunks it hasn't met in multithreaded batches (as many threads as a task has cores), compares each with what
+the sentencepiece library makes of it, and remembers both the ids and the outcome (a bounded memory that forgets rare
+chunks first, so that frequent ones aren't encoded and compared again).
 
 Defined results: a null text yields null ids and n_tokens 0; an empty text yields no ids; repeated rows and null ids
 are rows like any other; other columns are not looked at.
@@ -15,7 +16,10 @@ are rows like any other; other columns are not looked at.
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import kept, map_arrow
+from vectorloom.llm.packing import Memory
 
 MARK = "▁"
-MEMORY = 150_000
+ALONE = "\0"
+#: Chunks that a worker remembers, and chunks that are encoded at once.
+MEMORY, AT_ONCE = 800_000, 4000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
@@ -138,16 +145,25 @@ class Codec:
         import regex
         import sentencepiece
 
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(task.cpus() if task else os.cpu_count())
         self.model = m = parse_model(path)
         body = [p for p, _, k in m.pieces if k in (NORMAL, USER)]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in body) or not m.dummy_prefix or not m.escape:
             raise ValueError("a piece crosses a marker or a newline: chunks can't be encoded apart")
         self.tokenizer = backend(m, bare=True)
         self.normaliser = backend(m).normalizer
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # chunks come once
         self.plain = not m.charsmap and not m.remove_extra
         self.oracle = sentencepiece.SentencePieceProcessor(model_file=path)
         self.split = regex.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.chunks = Memory(MEMORY)
+        #: remembered chunks of which the library gives other ids
+        self.unequal: set[str] = set()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
 
     def normalise(self, text: str) -> str:
@@ -163,27 +179,64 @@ class Codec:
         head = len(self.oracle.encode("\n")) if chunks else 0
         return [f[: 1 if not a else None] if c[0] == MARK else f[head:] for c, a, f in zip(chunks, asked, found)]
 
+    def _learn(self, wanted: set[str]) -> None:
+        """Ids of chunks: what stands behind a single marker, or behind a null character the chunk as it is."""
+        new, known = self.chunks.lacking(wanted), self.chunks.known
+        self.unequal &= known.keys()
+        todo = []
+        for s in new:
+            if s[:1] == ALONE:
+                todo.append((s, s[1:]))
+            elif not s or MARK in s:
+                known[s] = None
+            else:
+                todo.append((s, MARK + s))
+        for at in range(0, len(todo), AT_ONCE):
+            some = todo[at : at + AT_ONCE]
+            chunks = [c for _, c in some]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            for (s, _), got, want in zip(some, ids, self._expected(chunks) if self.plain else ids):
+                known[s] = _packed(got)
+                if got != want:
+                    self.unequal.add(s)
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids as little-endian 32-bit numbers, and whether the sentencepiece library gives the same for each chunk."""
-        parts = [self.split(self.normalise(t)) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        new = list({c for p in parts for c in p if c not in known})
-        for c, e, want in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), self._expected(new)):
-            known[c] = (np.asarray(e.ids, "<u4").tobytes(), not self.plain or e.ids == want)
-        out = []
-        for p in parts:
-            found = [known[c] for c in p]
-            out.append((b"".join([f[0] for f in found]), all([f[1] for f in found])))
+        """Ids as little-endian 32-bit numbers, and whether the sentencepiece library gives the same: asked chunk by chunk,
+        or text by text if the model's normaliser changes more than spaces."""
+        fast, slow, out = {}, {}, [(b"", True)] * len(texts)
+        for i, t in enumerate(texts):
+            if t and self.plain and ALONE not in t:
+                fast[i] = t.split(" ")
+            elif t:
+                slow[i] = self._apart(t)
+        for parts in (fast, slow):
+            self._learn(set().union(*parts.values()))
+            known = self.chunks.known.__getitem__
+            for i, p in parts.items():
+                try:
+                    ids = b"".join(map(known, p))
+                except TypeError:  # runs of spaces
+                    slow[i] = self._apart(texts[i])
+                    continue
+                same = not self.unequal or self.unequal.isdisjoint(p)
+                out[i] = (ids, same if self.plain else _packed(self.oracle.encode(texts[i])) == ids)
         return out
 
+    def _apart(self, text: str) -> list[str]:
+        return [ALONE + c for c in self.split(self.normalise(text))]
+
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes_of
-        data = b"".join([table[i] for i in ids.tolist()])
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         return (data[1:] if self.model.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 def codec(path: str) -> Codec:
     """One a worker process."""
     return kept(("pieces", path), lambda: Codec(path))
