@@ -105,3 +105,28 @@ def test_tables_follow_the_true_agreement():
     assert abs(np.mean(differ) - simhash.disagreement(40, 0, 10)) < 0.004
     for n in (10_000, 30_000_000):
         assert simhash.found(*simhash.plan(n), simhash.miss(0.8)) >= simhash.RECALL
+
+
+@pytest.mark.parametrize("cell", [2048, 6])
+def test_withheld_pairs_are_not_lost(spark, monkeypatch, cell):
+    """Every pair of a cell is a candidate, so each text is first verified against an unlike one."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "farthest", lambda bits, threshold: bits)
+    rows = corpus(5)
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == truth(rows)
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs of exactly 0.8 by the tables and bits of a million texts."""
+    real = simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda n, threshold: real(1_000_000, threshold))
+    rng = random.Random(8)
+    rows = []
+    for n in (8, 16, 44, 48, 404) * 60:
+        words = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [words, words + [f"v{rng.randrange(10**6)}" for _ in range((n - 4) // 4)]]
+    rows = list(enumerate(" ".join(w) for w in rows))
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == i - i % 2 for i, _ in rows) >= 0.99 * len(rows)
+

@@ -11,11 +11,13 @@ Texts of few shingles don't follow the angle formula, so pairs of which one has
 sets of the threshold similarity share one of the smallest ``n - ceil(threshold n) + 1`` of their n hashes, and texts that
 share one are compared by their whole sets.
 
-Equal texts are grouped first, and one stands for all. Buckets beyond ``CELL`` rows are not cut short: they are split
-by a hash of the code's further coordinates, and so that no pair is lost, each pair of parts becomes a cell of its own. Within a cell, pairs whose codes differ in no more coordinates than a similar pair may are candidates;
-among them, pairs so close that they are similar beyond doubt are joined to a spanning forest, and of the others only
-those between different trees are written. Candidates are verified by the Jaccard similarity of their shingle sets, and
-the verified edges are closed to classes.
+Equal texts are grouped first, and one stands for all. Within a cell, pairs whose codes differ in no more coordinates
+than a similar pair may are candidates. In a first pass each text is verified against the first such text of its cell
+only, so that a group of near copies gives about as many pairs as it has texts; the texts of pairs so withheld go through
+a second pass, in which only pairs that the verified links don't join already are written. A bucket beyond ``CELL`` rows
+is capped by additional bits of the code, and what these leave too large is cut by hashed ids; the pairs so parted are
+compared in cells of bounded size, the rows outside the bucket's largest class against all of it. Candidates are verified
+by the Jaccard similarity of their shingle sets, and the verified edges are closed to classes.
 
 Defined results: a null text counts as empty; empty texts (and texts of white space only) are copies of each other only
 if equal byte for byte; rows with a null id are returned as singletons; repeated rows get the same class; the smallest
@@ -25,6 +27,7 @@ id of a class names it; other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from hashlib import blake2b
 from math import ceil, lgamma
@@ -40,11 +43,11 @@ from vectorloom.llm.graph import components
 SHINGLE, THRESHOLD = 5, 0.8
 BITS = 512
 #: Of these, the first CHECK are carried to compare candidates.
-CHECK = 192
+CHECK = 128
 RECALL = 0.998
 #: Pairs whose smaller set has at most so many shingles are found by shared shingles.
 SHORT = 40
-MEAN_BUCKET, CELL = 64, 2048
+MEAN_BUCKET, CELL = 256, 2048
 #: Standard deviations that a similar pair's distance may lie above its mean, by the first CHECK bits and by all.
 SLACK = 4.0
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -186,9 +189,10 @@ def codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def _emit(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
-    """One row a text and table: bucket, id, number of shingles, the first CHECK bits of the code."""
+    """One row a text and table: bucket, id, number of shingles, the first CHECK bits of the code, and the class if given."""
     chosen = _samples(bits, tables)
     power = 1 << np.arange(bits, dtype=np.int64)
+    carried = [c for c in ("class",) if c in distinct.columns]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -196,84 +200,124 @@ def _emit(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
         keys = signs[:, chosen] @ power + (np.arange(tables, dtype=np.int64) << 44)
         rows = pa.array(np.repeat(np.arange(batch.num_rows), tables))
         short = pa.array([r.tobytes() for r in packed[:, : CHECK // 8]], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows), short.take(rows)], ["key", "id", "size", "code"])
+        others = [batch.column(i).take(rows) for i in range(3, batch.num_columns)]
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows), short.take(rows), *others], ["key", "id", "size", "code", *carried])
 
-    return map_arrow(distinct.where(F.col("size") > SHORT).select("id", "size", "code"), "code", kernel, "key long, id long, size int, code binary")
+    source = distinct.where(F.col("size") > SHORT).select("id", "size", "code", *carried)
+    return map_arrow(source, "code", kernel, "key long, id long, size int, code binary" + "".join(f", {c} long" for c in carried))
 
 
-def _celled(rows: DataFrame) -> DataFrame:
-    """Splits buckets beyond CELL by their whole codes; every pair of parts becomes a cell, so no pair is lost."""
-    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("key", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")))
-    n = hot.count()
-    if n == 0:
-        return rows.withColumns({"cell": F.col("key"), "side": F.lit(0)})
-    joined = rows.join(maybe_broadcast(hot, n, 16), "key", "left")
-    cold = joined.where("parts IS NULL").withColumns({"cell": F.col("key"), "side": F.lit(0)})
-    # the whole code, and the id where even these are alike
-    split = joined.where("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("code", "id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.withColumns({"cell": F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")), "side": F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)})
-    return cold.drop("parts").unionByName(split.drop("parts", "part", "other"))
+@dataclass
+class _Split:
+    """Buckets beyond CELL rows (key, n), how many they are, and their parts by additional bits that are still beyond it
+    (key, part, cuts)."""
+
+    hot: DataFrame
+    many: int
+    large: DataFrame | None = None
+    many_large: int = 0
+
+
+def _part(rows: DataFrame, split: _Split) -> DataFrame:
+    """Adds ``part``: null, or for rows of oversized buckets as many further bits of the code as bring it down to CELL."""
+    joined = rows.join(maybe_broadcast(split.hot, split.many, 16), "key", "left")
+    mask = F.expr(f"shiftleft(1, least(16, cast(ceil(log2(2 * n / {CELL})) as int))) - 1")
+    more = F.conv(F.hex(F.substring("code", 1, 2)), 16, 10).cast("int").bitwiseAND(mask)
+    return joined.withColumn("part", F.when(F.col("n").isNotNull(), F.coalesce(more, F.lit(0)))).drop("n")
+
 
+def _split(rows: DataFrame) -> _Split:
+    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL))
+    split = _Split(hot, hot.count())
+    if split.many:
+        sizes = _part(rows, split).where("part IS NOT NULL").groupBy("key", "part").agg(F.count("*").alias("m")).where(F.col("m") > CELL)
+        split.large = checkpointed(sizes.select("key", "part", F.ceil(2 * F.col("m") / CELL).cast("int").alias("cuts")))
+        split.many_large = split.large.count()
+    return split
 
-def _candidates(cells: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (u, v): a spanning forest of the surely similar, and the possibly similar between its trees."""
-    most, sure = farthest(CHECK, threshold), int(CHECK * (1 - agreement(threshold)) / 3)
+
+def _celled(rows: DataFrame, split: _Split) -> DataFrame:
+    """Each row in one cell: its bucket, or a part of it by additional bits of its code, then by its id."""
+    if "class" not in rows.columns:
+        rows = rows.withColumn("class", F.lit(None).cast("long"))
+    if split.many == 0:
+        return rows.withColumns({"cell": F.col("key"), "side": F.lit(0)})
+    parted = _part(rows, split).join(maybe_broadcast(split.large, split.many_large, 24), ["key", "part"], "left")
+    cut = F.coalesce(F.pmod(F.xxhash64("id", "key"), F.col("cuts")), F.lit(0))
+    cell = F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part", cut))
+    return parted.withColumns({"cell": cell, "side": F.lit(0)}).drop("part", "cuts")
+
+
+def _parted(rows: DataFrame, split: _Split, grouped: DataFrame) -> DataFrame:
+    """Cells of what ``_celled`` parted: by bucket, the rows outside its largest class (side 1) against all rows (side 2)."""
+    within = rows.join(maybe_broadcast(split.hot, split.many, 16), "key").drop("n")
+    within = within.join(grouped.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left")
+    within = checkpointed(within.withColumn("class", F.coalesce("class", "id")))
+    main = within.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("all"))
+    half = CELL // 2
+    sizes = main.select("key", F.col("main.class").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / half).cast("int").alias("a"), F.ceil(F.col("all") / half).cast("int").alias("b")).where("a > 0")
+    within = within.join(maybe_broadcast(sizes, split.many, 24), "key")
+
+    def at(parts: str, salt: str):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.col(parts)).cast("int")
+
+    def every(parts: str):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    rest = within.where(F.col("class") != F.col("main")).withColumn("i", at("a", "rest")).withColumn("j", every("b")).withColumn("side", F.lit(1))
+    whole = within.withColumn("j", at("b", "all")).withColumn("i", every("a")).withColumn("side", F.lit(2))
+    return rest.unionByName(whole).withColumn("cell", F.xxhash64("key", "i", "j")).drop("main", "a", "b", "i", "j")
+
+
+def _candidates(cells: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """Distinct candidates (u, v, held). First pass: of each text the pair with the first text of its cell, and with held
+    true, u = v, the texts of which other pairs are withheld. Else: all pairs of texts of different classes."""
+    most = farthest(CHECK, threshold)
+
+    def pairs_of(a: int, b: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for lo in range(a, b, 256):
+            hi = min(b, lo + 256)
+            d = np.zeros((hi - lo, b - lo), np.uint16)
+            for lane in range(code.shape[1]):
+                d += np.bitwise_count(code[lo:hi, lane, None] ^ code[None, lo:b, lane])
+            i, j = np.nonzero(d <= most)
+            keep = i < j
+            found.append((i[keep] + lo, j[keep] + lo))
+        return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches):
             cell, key, ids, size, side = (chunk.column(c).to_numpy() for c in ("cell", "key", "id", "size", "side"))
+            own = chunk.column("class").fill_null(-1).to_numpy()
             code = np.frombuffer(b"".join(chunk.column("code").to_pylist()), np.uint64).reshape(len(cell), -1)
             edges = np.flatnonzero(np.diff(cell)) + 1
-            begin, end = np.append(0, edges), np.append(edges, len(cell))
-            out_u, out_v = [], []
-            for a, b in zip(begin.tolist(), end.tolist()):
+            out = []
+            for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(cell)).tolist()):
                 if b - a < 2:
                     continue
-                maybe_i, maybe_j, maybe_d = [], [], []
-                for lo in range(a, b, 256):
-                    hi = min(b, lo + 256)
-                    d = np.zeros((hi - lo, b - a), np.uint16)
-                    for lane in range(code.shape[1]):
-                        d += np.bitwise_count(code[lo:hi, lane, None] ^ code[None, a:b, lane])
-                    i, j = np.nonzero(d <= most)
-                    keep = i + lo < j + a
-                    i, j = i[keep], j[keep]
-                    if len(i):
-                        maybe_d.append(d[i, j])
-                        maybe_i.append(i + lo)
-                        maybe_j.append(j + a)
-                if not maybe_i:
+                i, j = pairs_of(a, b, code)
+                keep = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & (ids[i] != ids[j]) & (key[i] == key[j])
+                if not first:
+                    keep &= ((side[i] == 0) | (side[i] != side[j])) & (own[i] != own[j])
+                i, j = i[keep], j[keep]
+                if not first or not len(i):
+                    out.append((ids[i], ids[j], np.zeros(len(i), np.int64)))
                     continue
-                i, j, d = np.concatenate(maybe_i), np.concatenate(maybe_j), np.concatenate(maybe_d)
-                least, larger = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                keep = (least >= threshold * larger) & (ids[i] != ids[j]) & (key[i] == key[j]) & ((side[i] == 0) | (side[i] != side[j]))
-                i, j, d = i[keep], j[keep], d[keep]
-                parent: dict[int, int] = {}
-
-                def root(x):
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                close = d <= sure
-                for p, q in zip(i[close].tolist(), j[close].tolist()):
-                    r, s = root(p), root(q)
-                    if r != s:
-                        parent[max(r, s)] = min(r, s)
-                        out_u.append(ids[p])
-                        out_v.append(ids[q])
-                for p, q in zip(i[~close].tolist(), j[~close].tolist()):
-                    if root(p) != root(q):
-                        out_u.append(ids[p])
-                        out_v.append(ids[q])
-            if out_u:
-                u, v = np.array(out_u, np.int64), np.array(out_v, np.int64)
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    ordered = cells.select("cell", "key", "id", "size", "side", "code").repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+                by = np.lexsort((i, j))
+                i, j = i[by], j[by]
+                lead = np.append(True, j[1:] != j[:-1])
+                out.append((ids[i[lead]], ids[j[lead]], np.zeros(lead.sum(), np.int64)))
+                held = ids[np.unique(np.concatenate([i[~lead], j[~lead]]))]
+                out.append((held, held, np.ones(len(held), np.int64)))
+            if out:
+                u, v, held = (np.concatenate(c) for c in zip(*out))
+                rows = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), held], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2] == 1)], ["u", "v", "held"])
+
+    # by id, so that different tables give the same pairs
+    ordered = cells.select("cell", "key", "id", "size", "side", "class", "code").repartition("cell").sortWithinPartitions("cell", "id")
+    return ordered.mapInArrow(run, "u long, v long, held boolean").distinct()
 
 
 def _near(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
@@ -300,8 +344,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.unique(wide.view(">u8").ravel().astype(np.uint64))
 
 
-def _short(distinct: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that reach the threshold, of texts of few shingles: a spanning forest of each cell's."""
+def _exactly(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that reach the threshold, of sets (id, size, hashes): a spanning forest of each cell's."""
 
     def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, rows = [], []
@@ -316,25 +360,32 @@ def _short(distinct: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches):
             cell, ids, side = (chunk.column(c).to_numpy() for c in ("cell", "id", "side"))
+            own = chunk.column("class").fill_null(-1).to_numpy()
             codes_ = chunk.column("code")
             edges = np.flatnonzero(np.diff(cell)) + 1
             out_u, out_v = [], []
             for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(cell)).tolist()):
                 if b - a < 2:
                     continue
-                sets = [_unpacked(x.as_py()) for x in codes_[a:b]]
-                for i, j in _reaching(sets, ids[a:b], side[a:b], threshold):
+                members = [_unpacked(x.as_py()) for x in codes_[a:b]]
+                for i, j in _reaching(members, ids[a:b], side[a:b], own[a:b], threshold):
                     out_u.append(min(ids[a + i], ids[a + j]))
                     out_v.append(max(ids[a + i], ids[a + j]))
             if out_u:
                 yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
 
-    rows = map_arrow(distinct.where("hashes IS NOT NULL").select("id", "size", "hashes"), "hashes", prefixes, "key long, id long, size int, code binary")
-    ordered = _celled(rows).select("cell", "id", "side", "code").repartition("cell").sortWithinPartitions("cell")
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    rows = map_arrow(sets.select("id", "size", "hashes"), "hashes", prefixes, "key long, id long, size int, code binary")
+
+    def compared(cells: DataFrame) -> DataFrame:
+        ordered = cells.select("cell", "id", "side", "class", "code").repartition("cell").sortWithinPartitions("cell", "id")
+        return ordered.mapInArrow(run, "u long, v long").distinct()
+
+    split = _split(rows)
+    found = checkpointed(compared(_celled(rows, split)))
+    return found if split.many == 0 else found.unionByName(compared(_parted(rows, split, components(found))))
 
 
-def _reaching(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _reaching(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, own: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (by position) that reach the threshold; common elements are counted by lists of who has each."""
     n = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -354,12 +405,12 @@ def _reaching(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, thresho
 
     out = []
     for i in range(1, len(sets)):
-        own = slice(ends[i] - n[i], ends[i])
+        mine = slice(ends[i] - n[i], ends[i])
         # those before i in each list
-        many = place[own] - first[own]
-        at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        many = place[mine] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         common = np.bincount(held[at], minlength=i)
-        near = (common >= threshold * (n[i] + n[:i] - common)) & (ids[:i] != ids[i]) & ((side[:i] == 0) | (side[:i] != side[i]))
+        near = (common >= threshold * (n[i] + n[:i] - common)) & (ids[:i] != ids[i]) & ((side[:i] == 0) | (side[:i] != side[i]) & (own[:i] != own[i]))
         for j in np.flatnonzero(near).tolist():
             r, s = root(i), root(j)
             if r != s:
@@ -369,7 +420,7 @@ def _reaching(sets: list[np.ndarray], ids: np.ndarray, side: np.ndarray, thresho
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose shingle sets reach the threshold. Only texts of candidates travel."""
+    """The pairs whose shingle sets reach the threshold. Only the shingles of candidates travel."""
     involved = checkpointed(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     involved = maybe_broadcast(involved, involved.count(), 16)
 
@@ -390,14 +441,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return map_arrow(both, "a", compare, "u long, v long")
 
 
+def _sampled(distinct: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links of texts of more than SHORT shingles, by tables of sampled coordinates."""
+    bits, tables = plan(distinct.where(F.col("size") > SHORT).count(), threshold)
+    rows = _emit(distinct, bits, tables)
+    split = _split(rows)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_verified(checkpointed(_near(pairs, distinct, threshold)), texts, threshold))
+
+    found = checkpointed(_candidates(_celled(rows, split), threshold, True))
+    links = linked(found.where("NOT held").select("u", "v"))
+    held = found.where("held").select(F.col("u").alias("id"))
+    n = held.count()
+    if not n and not split.many:
+        return links
+    grouped = checkpointed(components(links))
+    rest = distinct.join(maybe_broadcast(held, n, 16), "id", "left_semi")
+    rest = rest.join(grouped.select(F.col("node").alias("id"), F.col("component").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    again = _candidates(_celled(_emit(rest, bits, tables), split), threshold, False)
+    if split.many:
+        again = again.unionByName(_candidates(_parted(rows, split, grouped), threshold, False)).distinct()
+    return links.unionByName(linked(checkpointed(again.select("u", "v"))))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest id of the class), one row a document."""
     coded = stored(codes(docs, id_col, text_col, threshold))
     distinct = stored(coded.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("code").alias("code"), F.first("hashes").alias("hashes")))
-    bits, tables = plan(distinct.where(F.col("size") > SHORT).count(), threshold)
-    pairs = checkpointed(_near(checkpointed(_candidates(_celled(_emit(distinct, bits, tables)), threshold)), distinct, threshold))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    grouped = checkpointed(components(_verified(pairs, texts, threshold).unionByName(_short(distinct, threshold))))
+    short = _exactly(distinct.where("hashes IS NOT NULL"), threshold)
+    grouped = checkpointed(components(_sampled(distinct, texts, threshold).unionByName(short)))
     classed = coded.select("doc_id", "digest").join(distinct.select("digest", "id"), "digest").join(grouped.withColumnRenamed("node", "id"), "id", "left")
     single = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return classed.select("doc_id", F.coalesce("component", "id").alias("class_id")).union(single)
