@@ -80,3 +80,46 @@ def test_articles_of_the_table(spark, small):
         body = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         blocks = [" ".join(pages.html_lib.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"<p>|</?h1>|</p>", body)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_near_copies_and_series_keep_every_paragraph(spark):
+    body = "".join(f"<p>Paragraph {k} of the very same story, told at some length.</p>" for k in range(5))
+    rows = [(i, f"http://copies.example/{i}", f"<body><nav>Menu</nav><article><h1>Day {i}</h1>{body}</article><footer>end</footer>") for i in range(4)]
+    # the same without an article element: copies say nothing about the template
+    rows += [(10 + i, f"http://plain.example/{i}", f"<body><div><h1>Day {i}</h1>{body}</div>") for i in range(4)]
+    rows += [(20 + i, f"http://series.example/{i}", f"<body><article><p>In this series we look at rivers.</p><p class=legal>Free to copy.</p><p>{'river number %d ' % i * 30}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = "\n\n".join(f"Paragraph {k} of the very same story, told at some length." for k in range(5))
+    for i in range(4):
+        assert got[i] == got[10 + i] == f"Day {i}\n\n{told}"
+    for i in range(5):
+        assert got[20 + i].startswith("In this series we look at rivers.\n\nFree to copy.\n\nriver number")
+
+
+def test_template_despite_empty_and_unlike_references(spark):
+    page = "<html><body><div><p>Welcome to the site</p></div><div><p>{0}</p></div><div>All rights reserved</div></body></html>"
+    rows = [(0, "http://h.example/0", " "), (1, "http://h.example/1", "<html><body><h1>404</h1>")] + [(i, f"http://h.example/{i}", page.format(f"story number {i} " * 9)) for i in range(2, 40)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(f"story number {i} ".split() * 9) for i in range(2, 40))
+
+
+def test_unclosed_and_deep_elements():
+    assert extracted("<article><p>a<svg><path><p>b</article>") == "a\n\nb"
+    deep = "<article>" + "<div>" * 400 + "x" + "</div>" * 400 + "<p>y</article><nav>z</nav>"
+    assert extracted(deep) == "x\n\ny"
+    a, b = (pages.parse("<div>" * 3000 + f"<{t}></{t}>" + "</div>" * 3000) for t in "bi")
+    assert len(pages.match(a, b)) == 3001
+
+
+def test_many_siblings_are_matched_as_well_as_can_be():
+    rng = random.Random(6)
+    for n in (30, 700):
+        p, q = ([rng.choice(["p", "b", "i", "p><u></u"]) for _ in range(n)] for _ in range(2))
+        a, b = (pages.parse("<div>" + "".join(f"<{t}></{t[0]}>" for t in x) + "</div>") for x in (p, q))
+        line = [0] * (n + 1)
+        for x in p:
+            above = line[:]
+            for j, y in enumerate(q):
+                w = 0 if x[0] != y[0] else 1 + (x == y and len(x) > 1)
+                line[j + 1] = max(above[j + 1], line[j], above[j] + w)
+        assert len(pages.match(a, b)) == 2 + line[n]

@@ -1,17 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Each host's page with the smallest id is its reference tree. Every page of the host is aligned with it by simple tree
-matching (equal roots; children matched in order so that the matched nodes are most). Counted over all pages are, by
-reference node, how many pages have a match, and how many of these with the very same text: nodes that keep their text
-are template, varying ones are slots of content. Counts are added up before they are shuffled, so a host with a third
-of all pages sends no more rows than another.
-
-A page's text is what stands in its content slots: blocks under ``article``, ``main`` or ``role=main`` (else anywhere in
-the page), without template nodes and without elements that by tag, role, class or id are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or comments.
+``REFERENCES`` pages a host, not empty, the least ids of as many hash classes, are its reference trees. Every page of the host is
+aligned with each by simple tree matching (equal roots; children matched in order so that the matched nodes are most).
+Counted over all pages are, by reference node, how many pages have a match, and how many of these with the very same
+text: nodes that keep their text are template, varying ones are slots of content. A page most of whose text is a
+reference's is a copy of it and says nothing about the template, so it isn't counted. Counts are added up before they are
+shuffled, so a host with a third of all pages sends no more rows than another.
+
+A page's text is what stands in its content slots: blocks under ``article``, ``main`` or ``role=main``, else anywhere in
+the page without template nodes; and always without elements that by tag, role, class or id are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or comments. What a page itself marks as its article is never
+template, however often it repeats: introductions of a series and licence paragraphs stay.
 
 Defined results: a null or empty page, or one without content, has an empty text; pages without url form a host of
-their own; a host with one page, or whose other pages are copies of the reference, has no template; repeated rows are
+their own; a host with one page, or whose other pages are copies of its references, has no template; repeated rows are
 treated alike; null ids are extracted too, though never a reference; other columns are not looked at.
 """
 
@@ -20,9 +22,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import sys
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +35,17 @@ from vectorloom.llm.common import checkpointed, map_arrow
 
 #: A matched node is template if it has the reference's text in at least this share of the other pages.
 CONSTANT = 0.5
-#: Deeper elements are attached to the one at this depth.
-DEPTH = 150
-#: Beyond so many pairs of children, what lies between equal ends is matched greedily.
-CELLS = 250_000
+#: Pages that serve a host as references, and the share of equal text from which a page counts as a copy of one.
+REFERENCES, COPY = 3, 0.8
+#: Parts that a host's pages are spread over where they are joined with the references by a shuffle.
+SALT = 64
 #: References beyond so many bytes in all are joined by a shuffle instead of a broadcast.
 BROADCAST = 16 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*+|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+))>""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {t: re.compile(f"</{t}[\\s>/]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object")}
+_RAW_TO_END = frozenset("script style textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd"}
@@ -48,11 +53,13 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "body": {"html"}}
 _DROPPED = frozenset("head nav aside footer form button select input textarea dialog menu script style noscript template iframe svg math object canvas audio video map datalist".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|foot|masthead|topbar|cookies?|consent|gdpr|notices?|notification|alert|"
-    r"popup|modal|overlay|newsletter|subscri\w*|signup|login|search|shar(?:e|ing)\w*|social|related|recommend\w*|comments?|commentlist|repl(?:y|ies)|discussion|disqus|respond|widgets?|toolbar|paginat\w*|pager|"
-    r"copyright|legal|skip|hidden|tags|byline-ad)(?:$|[\s_-])"
+_SURE_WORDS = (
+    r"ad|ads|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|cookies?|consent|gdpr|notices?|notification|"
+    r"popup|overlay|newsletter|subscri\w*|signup|login|shar(?:e|ing)\w*|comments?|commentlist|repl(?:y|ies)|disqus|respond|widgets?|toolbar|paginat\w*|pager"
 )
+#: Within an article only what surely names none of its text; elsewhere more.
+_WORDS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_SURE_WORDS})(?:$|[\s_-])")
+_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_SURE_WORDS}|nav\w*|side|foot|masthead|topbar|alert|modal|search|social|related|recommend\w*|discussion|copyright|legal|skip|hidden|tags|byline-ad)(?:$|[\s_-])")
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head|top)(?:$|[\s_-])")
 
 
@@ -68,7 +75,7 @@ class Node:
     def finish(self) -> None:
         """Size and signature of the subtree's tags; children first."""
         self.size = 1 + sum(k.size for k in self.kids)
-        self.sig = crc32(f"{self.tag}({','.join(str(k.sig) for k in self.kids)})".encode()) if self.kids else crc32(self.tag.encode())
+        self.sig = hash((self.tag, self.size, *(k.sig for k in self.kids)))
 
 
 def parse(page: str) -> Node:
@@ -120,10 +127,12 @@ def parse(page: str) -> Node:
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             if end is None:
-                break
+                if tag in _RAW_TO_END:
+                    break
+                continue  # unclosed: taken for empty
             close = page.find(">", end.start())
             at = n if close < 0 else close + 1
-        elif tag not in _VOID and len(stack) < DEPTH and not m[3].endswith("/"):
+        elif tag not in _VOID and not m[3].endswith("/"):
             stack.append(node)
     for node in reversed(made):
         node.finish()
@@ -143,78 +152,88 @@ def preorder(node: Node) -> list[Node]:
     return out
 
 
+def _scores(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that can be matched of all of x with each prefix of y, in order; w: weights by class."""
+    line = np.zeros(len(y) + 1, np.int64)
+    for row in w[x][:, y] if len(x) * len(y) < 1 << 16 else (w[k, y] for k in x):
+        line[1:] = np.maximum(line[1:], np.where(row > 0, line[:-1] + row, 0))
+        np.maximum.accumulate(line, out=line)
+    return line
+
+
+def _paired(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of a heaviest matching in order, in memory linear in the numbers of children."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if b == a or c == d:
+            continue
+        if b - a == 1:
+            row = w[x[a], y[c:d]]
+            if row.max() > 0:
+                out.append((a, c + int(row.argmax())))
+            continue
+        mid = (a + b) // 2
+        total = _scores(w, x[a:mid], y[c:d]) + _scores(w, x[mid:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + int(total.argmax())
+        todo += [(a, mid, c, cut), (mid, b, cut, d)]
+    return out
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs of nodes of the two trees, equal tags, order and descent kept, as many as can be."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6 * max(max(x.depth for x in preorder(t)) for t in (a, b)) + 1000))
+    #: by the two subtrees' signatures, as weights depend on nothing else
+    memo: dict[tuple[int, int], int] = {}
 
     def weight(x: Node, y: Node) -> int:
         if x.tag != y.tag:
             return 0
-        if x.sig == y.sig and x.size == y.size:
+        if x.sig == y.sig:
             return x.size
         if not x.kids or not y.kids:
             return 1
-        key = (id(x), id(y))
+        key = (x.sig, y.sig)
         if key not in memo:
-            memo[key] = align(x.kids, y.kids)
-        return 1 + memo[key][0]
+            ends, p, q = trimmed(x.kids, y.kids)
+            if p and q:
+                w, i, j = classed(p, q)
+                total = int(_scores(w, i, j)[-1])
+            else:
+                total = 0
+            memo[key] = 1 + total + sum(u.size for u, _ in ends)
+        return memo[key]
 
-    def align(p: list[Node], q: list[Node]) -> tuple[int, list]:
-        pairs, total, lo, pe, qe = [], 0, 0, len(p), len(q)
+    def trimmed(p: list[Node], q: list[Node]) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+        """Pairs of equal children at either end, and what lies between."""
+        lo, pe, qe, ends = 0, len(p), len(q), []
         while lo < min(pe, qe) and p[lo].sig == q[lo].sig:
-            pairs.append((p[lo], q[lo]))
-            total += p[lo].size
+            ends.append((p[lo], q[lo]))
             lo += 1
         while pe > lo and qe > lo and p[pe - 1].sig == q[qe - 1].sig:
             pe, qe = pe - 1, qe - 1
-            pairs.append((p[pe], q[qe]))
-            total += p[pe].size
-        p, q = p[lo:pe], q[lo:qe]
-        if not p or not q:
-            return total, pairs
-        if len(p) * len(q) > CELLS:
-            j = 0
-            for x in p:
-                for k in range(j, min(j + 50, len(q))):
-                    if q[k].tag == x.tag:
-                        pairs.append((x, q[k]))
-                        total += weight(x, q[k])
-                        j = k + 1
-                        break
-            return total, pairs
-        w = [[weight(x, y) for y in q] for x in p]
-        table = [[0] * (len(q) + 1)]
-        for row in w:
-            above, line, left = table[-1], [0], 0
-            for j, v in enumerate(row):
-                best = above[j + 1] if above[j + 1] > left else left
-                if v and above[j] + v > best:
-                    best = above[j] + v
-                line.append(best)
-                left = best
-            table.append(line)
-        i, j = len(p), len(q)
-        total += table[i][j]
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((p[i], q[j]))
-        return total, pairs
+            ends.append((p[pe], q[qe]))
+        return ends, p[lo:pe], q[lo:qe]
+
+    def classed(p: list[Node], q: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights between the distinct shapes of either side, and each child's shape."""
+        us, vs = {x.sig: x for x in p}, {y.sig: y for y in q}
+        ui, vi = {k: n for n, k in enumerate(us)}, {k: n for n, k in enumerate(vs)}
+        w = np.array([[weight(x, y) for y in vs.values()] for x in us.values()], np.int64)
+        return w, np.array([ui[x.sig] for x in p]), np.array([vi[y.sig] for y in q])
 
     out, todo = [], [(a, b)] if a.tag == b.tag else []
     while todo:
         x, y = todo.pop()
-        if x.sig == y.sig and x.size == y.size:
+        if x.sig == y.sig:
             out.extend(zip(preorder(x), preorder(y)))
             continue
         out.append((x, y))
         if x.kids and y.kids:
-            weight(x, y)
-            todo.extend(memo[id(x), id(y)][1])
+            ends, p, q = trimmed(x.kids, y.kids)
+            todo += ends
+            if p and q:
+                todo += [(p[i], q[j]) for i, j in _paired(*classed(p, q))]
     return out
 
 
@@ -260,7 +279,7 @@ def extract(root: Node, template: set[int]) -> str:
         if node.tag in ("html", "body"):
             return False
         names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-        return bool(_WORDS.search(names)) or not inside and bool(_HEADER.search(names))
+        return bool((_WORDS_INSIDE if inside else _WORDS).search(names)) or not inside and bool(_HEADER.search(names))
 
     # the outermost content elements, else the whole page
     roots, todo = [], [root]
@@ -289,7 +308,7 @@ def extract(root: Node, template: set[int]) -> str:
             node, rest = stack[-1]
             for part in rest:
                 if type(part) is str:
-                    if id(node) not in template:
+                    if inside or id(node) not in template:
                         line.append(part)
                 elif part.tag in ("br", "wbr"):
                     line.append(" " if part.tag == "br" else "")
@@ -314,45 +333,56 @@ def _with_host(pages: DataFrame) -> DataFrame:
 
 
 def _joined(pages: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    return pages.join(F.broadcast(small) if size <= BROADCAST else small, "host", "left")
+    """Pages with their host's row of a small table: broadcast if it is small enough, else spread, so that no host's pages
+    come together in one task."""
+    if size <= BROADCAST:
+        return pages.join(F.broadcast(small), "host", "left")
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
 
 def induce(pages: DataFrame) -> tuple[DataFrame, int]:
-    """host, reference, template (numbers of its constant nodes), and the table's size in bytes."""
+    """host, references, templates (by reference the numbers of its constant nodes), and the table's size in bytes."""
     hosted = _with_host(pages)
-    first = hosted.where("page_id IS NOT NULL AND html IS NOT NULL").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    length = first.agg(F.coalesce(F.sum(F.length("host") + 16), F.lit(0))).first()[0]
-    source = hosted.where("html IS NOT NULL").select("host", "page_id", "html").join(F.broadcast(first) if length <= BROADCAST else first, ["host", "page_id"], "left_semi")
+    usable = hosted.where(F.col("page_id").isNotNull() & (F.length(F.trim("html")) > 0))
+    # one of each of so many hash classes, so that a host's ids are added up and never come together
+    ranked = usable.withColumn("class", F.pmod(F.xxhash64("page_id"), F.lit(REFERENCES)))
+    first = checkpointed(ranked.groupBy("host", "class").agg(F.min("page_id").alias("page_id")).drop("class"))
+    length = first.agg(F.coalesce(F.sum(F.length("host") + 80), F.lit(0))).first()[0]
+    source = usable.select("host", "page_id", "html").join(F.broadcast(first) if length <= BROADCAST else first, ["host", "page_id"], "left_semi")
 
     def refer(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([skeleton(x) for x in batch.column(1).to_pylist()])], ["host", "reference"])
 
-    references = checkpointed(map_arrow(source.select("host", "html"), "html", refer, "host string, reference string").groupBy("host").agg(F.min("reference").alias("reference")))
-    size = references.agg(F.coalesce(F.sum(F.length("reference") + F.length("host")), F.lit(0))).first()[0]
+    made = map_arrow(source.select("host", "html"), "html", refer, "host string, reference string")
+    references = checkpointed(made.groupBy("host").agg(F.slice(F.sort_array(F.collect_set("reference")), 1, REFERENCES).alias("references")))
+    size = references.agg(F.coalesce(F.sum(F.aggregate("references", F.lit(0), lambda n, r: n + F.length(r)) + F.length("host")), F.lit(0))).first()[0]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter = Counter()
         same: Counter = Counter()
         known: dict = {}
-        for host, page, reference in zip(*(c.to_pylist() for c in batch.columns)):
-            if page is None or reference is None:
+        for host, page, listed in zip(*(c.to_pylist() for c in batch.columns)):
+            if not page or not listed:
                 continue
             if host not in known:
-                known[host] = rebuilt(reference)
-            page_hash, tree, texts = known[host]
-            if crc32(page.encode()) == page_hash:
-                continue
-            for x, y in match(tree, parse(page)):
-                text = own_text(y)
-                if text or texts[x.open]:
-                    seen[host, x.open] += 1
-                    same[host, x.open] += crc32(text.encode()) == texts[x.open]
+                known[host] = [rebuilt(r) for r in listed]
+            tree_of_page = parse(page)
+            for k, (page_hash, tree, texts) in enumerate(known[host]):
+                if crc32(page.encode()) == page_hash:
+                    continue
+                found = [(x.open, text, bool(text) and crc32(text.encode()) == texts[x.open]) for x, y in match(tree, tree_of_page) if (text := own_text(y)) or texts[x.open]]
+                if sum(len(t) for _, t, equal in found if equal) >= COPY * sum(len(t) for _, t, _ in found):
+                    continue
+                for node, _, equal in found:
+                    seen[host, k, node] += 1
+                    same[host, k, node] += equal
         keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())], ["host", "node", "n", "same"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.int32()), pa.array([x[2] for x in keys], pa.int32()), pa.array([seen[x] for x in keys], pa.int64()), pa.array([same[x] for x in keys], pa.int64())], ["host", "k", "node", "n", "same"])
 
-    counted = map_arrow(_joined(hosted.select("host", "html"), references, size).select("host", "html", "reference"), "html", count, "host string, node int, n long, same long")
-    constant = counted.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(F.col("same") >= F.greatest(F.lit(2.0), CONSTANT * F.col("n")))
-    template = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
+    counted = map_arrow(_joined(hosted.select("host", "html"), references, size).select("host", "html", "references"), "html", count, "host string, k int, node int, n long, same long")
+    constant = counted.groupBy("host", "k", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(F.col("same") >= F.greatest(F.lit(2.0), CONSTANT * F.col("n")))
+    template = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("template"))
     return checkpointed(references.join(template, "host", "left")), size
 
 
@@ -362,21 +392,21 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, known = [], {}
-        for page, host, reference, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+        for page, host, listed, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
             if not page:
                 out.append("")
                 continue
             root, boring = parse(page), set()
             if template:
                 if host not in known:
-                    known[host] = rebuilt(reference)
-                _, tree, texts = known[host]
-                constant = set(template)
-                boring = {id(y) for x, y in match(tree, root) if x.open in constant and crc32(own_text(y).encode()) == texts[x.open]}
+                    known[host] = [(*rebuilt(r), {t["node"] for t in template if t["k"] == k}) for k, r in enumerate(listed)]
+                for _, tree, texts, constant in known[host]:
+                    if constant:
+                        boring |= {id(y) for x, y in match(tree, root) if x.open in constant and crc32(own_text(y).encode()) == texts[x.open]}
             out.append(extract(root, boring))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    source = _joined(_with_host(pages), wrappers, 2 * size).select("page_id", "url", "html", "host", "reference", "template")
+    source = _joined(_with_host(pages), wrappers, 2 * size).select("page_id", "url", "html", "host", "references", "template")
     return map_arrow(source, "html", kernel, "page_id long, url string, text string")
 
 
