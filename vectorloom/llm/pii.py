@@ -1,11 +1,12 @@
 """Personal data and secrets replaced by surrogates, with built-in functions only.
 
-Detected are e-mail addresses, payment card numbers, phone numbers, IPv4 addresses, social security numbers, IBANs,
-cloud access keys, ``password=``/``token =`` values, and names behind a title or led by a known given name.
+Detected are e-mail addresses, payment card numbers, phone numbers, IPv4 and IPv6 addresses, social security numbers,
+IBANs, cloud access keys, ``password=``/``token =`` values, and names behind a title or led by a known given name. A full
+name found in a text is replaced wherever it stands in that text, and so is its surname alone.
 
 A surrogate is drawn from a keyed SHA-256 of the entity's normal form (letter case, spaces and punctuation aside), so
 one entity gets one surrogate wherever and however it is written, and keeps its form: digits stay digits, letters keep
-script and case, card numbers keep their first digit and a right check digit, phone numbers their country code, given
+script and case, card numbers keep their first digit and card numbers and IBANs right check digits, phone numbers their country code, given
 names their gender and script. Known given names are permuted; for others one is made of syllables, of another ending by
 gender. Punctuation is that of the occurrence.
 
@@ -13,8 +14,10 @@ Collision checks: the distinct entities of all documents (found with map-side co
 share one, or one is itself an entity of the corpus, later ones draw again, until none is left. Only these exceptions,
 normally none, are carried into the replacing pass; that pass is a projection without a shuffle.
 
+The key is a secret of whoever runs this: an argument, or the session's ``spark.vectorloom.pii.key``. There is no default.
+
 Defined results: a null text stays null and an empty one empty, both with n_entities 0; repeated rows are rewritten
-alike; rows with null ids are rewritten too; other columns are kept by ``surrogates`` and not looked at.
+alike; rows with null ids are rewritten too; other columns are kept by ``surrogates`` and not looked at, but for one named ``pii_kinds``, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.common import checkpointed
 
-KEY = "vectorloom-surrogates-v1"
+KEY_SETTING = "spark.vectorloom.pii.key"
 #: Up to so many exceptions are carried as a literal; more are joined.
 LITERAL = 1000
 
@@ -49,6 +52,7 @@ PATTERNS = {
     "secret": r"\b(?i:password|passwd|pwd|token|secret|api_?key)(?: ?[=:] ?)\x22?(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{6,}\x22?",
     "aws": r"\bA[KS]IA[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b",
     "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -82,13 +86,15 @@ def _parts(m: str) -> str:
     rest = f"regexp_replace({m}, {_q(_TITLE_RE.replace(chr(92) * 2, chr(92)))}, '')"
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     one = lambda k, v: f"array(named_struct('kind', '{k}', 'norm', {v}))"
-    female = f"({m} RLIKE {_q(rf'^(?:{_TITLE_F})\b')} OR array_contains({_array(GIVEN['latin_f'] + GIVEN['cyrillic_f'])}, split({rest}, ' ')[0]))"
+    given = f"split({rest}, ' ')[0]"
+    female = f"({m} RLIKE {_q(rf'^(?:{_TITLE_F})')} OR array_contains({_array(GIVEN['latin_f'] + GIVEN['cyrillic_f'])}, {given}))"
     return f"""CASE {_kind(m)}
       WHEN 'email' THEN {one('email', f'lower({m})')}
       WHEN 'secret' THEN {one('secret', value)}
       WHEN 'aws' THEN {one('aws', m)}
       WHEN 'iban' THEN {one('iban', f"replace({m}, ' ', '')")}
       WHEN 'ip' THEN {one('ip', m)}
+      WHEN 'ipv6' THEN {one('ipv6', f'lower({m})')}
       WHEN 'card' THEN {one('card', digits)}
       WHEN 'ssn' THEN {one('ssn', digits)}
       WHEN 'phone' THEN {one('phone', digits)}
@@ -96,9 +102,9 @@ def _parts(m: str) -> str:
         CASE WHEN i = size(split({rest}, ' ')) - 1 THEN 'surname' WHEN {female} THEN 'given_f' ELSE 'given_m' END, 'norm', w)) END"""
 
 
-def _stream(kind: str, norm: str, attempt: str) -> str:
+def _stream(kind: str, norm: str, attempt: str, key: str) -> str:
     """128 hexadecimal digits."""
-    seed = f"concat_ws('|', {_q(KEY)}, {kind}, {norm}, cast({attempt} as string)"
+    seed = f"concat_ws('|', {_q(key)}, {kind}, {norm}, cast({attempt} as string)"
     return f"concat(sha2({seed}, 'a'), 256), sha2({seed}, 'b'), 256))"
 
 
@@ -128,12 +134,17 @@ def _luhn(body: str) -> str:
     return f"cast((10 - {total} % 10) % 10 as string)"
 
 
-def _rotated(names: list[str], w: str, attempt: str, key_of: str) -> str:
+def _mod97(s: str) -> str:
+    """The remainder of an IBAN's characters, letters as numbers from 10."""
+    return f"aggregate(split({s}, ''), 0, (a, c) -> CASE WHEN c = '' THEN a WHEN c RLIKE '[0-9]' THEN (a * 10 + cast(c as int)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+
+
+def _rotated(names: list[str], w: str, attempt: str, key_of: str, key: str) -> str:
     """A permutation of the list; for a name outside one is made, never one of a list: long, and by gender with a vowel or
     a consonant at the end."""
-    shift = 1 + sum(map(ord, KEY + key_of)) % (len(names) - 1)
+    shift = 1 + sum(map(ord, key + key_of)) % (len(names) - 1)
     script, gender = key_of.split("_")
-    made = f"array_join(transform(sequence(0, 3 + {attempt}), k -> {_array(_SYLLABLES[script])}[{_byte(_stream(_q(key_of), w, attempt), 'k')} % 32]), '')"
+    made = f"array_join(transform(sequence(0, 3 + {attempt}), k -> {_array(_SYLLABLES[script])}[{_byte(_stream(_q(key_of), w, attempt, key), 'k')} % 32]), '')"
     if gender == "m":
         made = f"concat({made}, '{'n' if script == 'latin' else 'н'}')"
     return f"CASE WHEN array_contains({_array(names)}, {w}) THEN {_array(names)}[(cast(array_position({_array(names)}, {w}) as int) - 1 + {shift}) % {len(names)}] ELSE initcap({made}) END"
@@ -144,24 +155,28 @@ def _surname(w: str, h: str, attempt: str) -> str:
     return f"initcap(CASE WHEN {w} RLIKE '[а-яА-Я]' THEN {made('cyrillic')} ELSE {made('latin')} END)"
 
 
-def surrogate_sql(kind: str, norm: str, attempt: str) -> str:
+def surrogate_sql(kind: str, norm: str, attempt: str, key: str) -> str:
     """The surrogate of a normal form, as SQL over the names of three columns or lambda variables."""
-    h = _stream(kind, norm, attempt)
+    h = _stream(kind, norm, attempt, key)
     swap = _swap(norm, h)
     card = f"concat(substring({norm}, 1, 1), substring({swap}, 2, length({norm}) - 2))"
+    country, bban = f"substring({norm}, 1, 2)", _swap(f"substring({norm}, 3)", h)
+    account = f"substring({bban}, 3)"
+    iban = f"concat({country}, lpad(cast(98 - {_mod97(f'concat({account}, {country}, {chr(39)}00{chr(39)})')} as string), 2, '0'), {account})"
     local, domain = f"split({norm}, '@')[0]", f"split({norm}, '@')[1]"
     labels = f"split({domain}, '[.]')"
     return f"""CASE {kind}
-      WHEN 'email' THEN concat({_swap(local, h)}, '@', {_swap(f'{labels}[0]', _stream("'domain'", domain, '0'))}, '.example.', {labels}[size({labels}) - 1])
+      WHEN 'email' THEN concat({_swap(local, h)}, '@', {_swap(f'{labels}[0]', _stream("'domain'", domain, '0', key))}, '.example.', {labels}[size({labels}) - 1])
       WHEN 'secret' THEN CASE WHEN {norm} RLIKE '^[0-9a-f]+$' THEN {_hexed(norm, h)} ELSE {swap} END
       WHEN 'aws' THEN concat(substring({norm}, 1, 4), {_swap(f'substring({norm}, 5)', h)})
-      WHEN 'iban' THEN concat(substring({norm}, 1, 2), {_swap(f'substring({norm}, 3)', h)})
+      WHEN 'iban' THEN CASE WHEN {_mod97(f'concat(substring({norm}, 5), substring({norm}, 1, 4))')} = 1 THEN {iban} ELSE concat({country}, {bban}) END
+      WHEN 'ipv6' THEN array_join(transform(split({norm}, ''), (c, i) -> CASE WHEN c IN (':', '') THEN c ELSE substring({h}, 1 + i % 128, 1) END), '')
       WHEN 'ip' THEN array_join(transform(sequence(0, 3), k -> cast(1 + {_byte(h, 'k')} % 254 as string)), '.')
       WHEN 'card' THEN concat({card}, CASE WHEN {_luhn(f'substring({norm}, 1, length({norm}) - 1)')} = substring({norm}, -1, 1) THEN {_luhn(card)} ELSE substring({swap}, -1, 1) END)
       WHEN 'phone' THEN concat(substring({norm}, 1, greatest(length({norm}) - 10, 0)), cast(2 + {_byte(h, '62')} % 8 as string), substring({swap}, greatest(length({norm}) - 10, 0) + 2))
       WHEN 'ssn' THEN {swap}
-      WHEN 'given_f' THEN CASE WHEN {norm} RLIKE '[а-яА-Я]' THEN {_rotated(GIVEN['cyrillic_f'], norm, attempt, 'cyrillic_f')} ELSE {_rotated(GIVEN['latin_f'], norm, attempt, 'latin_f')} END
-      WHEN 'given_m' THEN CASE WHEN {norm} RLIKE '[а-яА-Я]' THEN {_rotated(GIVEN['cyrillic_m'], norm, attempt, 'cyrillic_m')} ELSE {_rotated(GIVEN['latin_m'], norm, attempt, 'latin_m')} END
+      WHEN 'given_f' THEN CASE WHEN {norm} RLIKE '[а-яА-Я]' THEN {_rotated(GIVEN['cyrillic_f'], norm, attempt, 'cyrillic_f', key)} ELSE {_rotated(GIVEN['latin_f'], norm, attempt, 'latin_f', key)} END
+      WHEN 'given_m' THEN CASE WHEN {norm} RLIKE '[а-яА-Я]' THEN {_rotated(GIVEN['cyrillic_m'], norm, attempt, 'cyrillic_m', key)} ELSE {_rotated(GIVEN['latin_m'], norm, attempt, 'latin_m', key)} END
       WHEN 'surname' THEN {_surname(norm, h, attempt)} END"""
 
 
@@ -177,6 +192,7 @@ def _written(m: str, kind: str, made: str) -> str:
     tail = f"CASE WHEN {m} LIKE '%\"' THEN '\"' ELSE '' END"
     title = f"regexp_extract({m}, {_q(_TITLE_RE.replace(chr(92) * 2, chr(92)))}, 0)"
     return f"""CASE WHEN {kind} IN ('card', 'ssn', 'phone') THEN {_laid_out(m, f'{made}[0]', '[^0-9]')}
+      WHEN {kind} = 'ipv6' THEN CASE WHEN {m} RLIKE '[A-F]' THEN upper({made}[0]) ELSE {made}[0] END
       WHEN {kind} = 'iban' THEN {_laid_out(m, f'{made}[0]', ' ')}
       WHEN {kind} = 'secret' THEN concat({lead}, {made}[0], {tail})
       WHEN {kind} IN ('surname', 'given_f', 'given_m') THEN concat({title}, array_join({made}, ' '))
@@ -197,11 +213,11 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 _PERMUTED = " OR ".join(f"kind = 'given_{g}' AND array_contains({_array(GIVEN[f'latin_{g}'] + GIVEN[f'cyrillic_{g}'])}, norm)" for g in "fm")
 
 
-def exceptions(found: DataFrame, rounds: int = 20) -> DataFrame:
+def exceptions(found: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogates collide with another's or with an entity."""
     now = checkpointed(found.where(f"NOT ({_PERMUTED})").withColumn("attempt", F.lit(0)))
     for _ in range(rounds):
-        made = now.withColumn("made", F.expr(surrogate_sql("kind", "norm", "attempt")))
+        made = now.withColumn("made", F.expr(surrogate_sql("kind", "norm", "attempt", key)))
         # who drew it first keeps it; entities themselves are always first
         claims = made.select("kind", F.lower("made").alias("at"), F.struct(F.lit(1).alias("late"), "attempt", "norm").alias("who")).unionByName(
             made.select("kind", F.lower("norm").alias("at"), F.struct(F.lit(0).alias("late"), F.lit(0).alias("attempt"), F.col("norm")).alias("who"))
@@ -215,34 +231,54 @@ def exceptions(found: DataFrame, rounds: int = 20) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def surrogates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _key(docs: DataFrame, key: str | None) -> str:
+    found = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not found:
+        raise ValueError(f"surrogates need a key: give one, or set {KEY_SETTING}")
+    return found
+
+
+def _coreferent() -> Column:
+    """Full names that were found in a text, then their surnames alone, replaced wherever else they stand in it."""
+    people = "array_distinct(filter(__pii_new, x -> x.old IS NOT NULL))"
+    pairs = f"concat(transform({people}, x -> named_struct('old', x.old, 'new', x.new)), transform(filter({people}, x -> length(x.last) > 2), x -> named_struct('old', x.last, 'new', x.new_last)))"
+    edge = "concat('(?<![\\\\p{L}\\\\p{N}_])', p.old, '(?![\\\\p{L}\\\\p{N}_])')"
+    return F.expr(f"CASE WHEN exists(__pii_new, x -> x.old IS NOT NULL) THEN aggregate({pairs}, __pii_text, (t, p) -> CASE WHEN contains(t, p.old) THEN regexp_replace(t, {edge}, p.new) ELSE t END) ELSE __pii_text END")
+
+
+def surrogates(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """All columns of the input, the text rewritten, and ``pii_kinds``: the kinds replaced, in text order."""
-    odd = exceptions(entities(docs, text_col))
+    key = _key(docs, key)
+    order = [c for c in docs.columns if c != "pii_kinds"]
+    docs = docs.select(*order)
+    odd = exceptions(entities(docs, text_col), key)
     n = odd.count()
-    source = docs.withColumn("pii_found", _matches(F.col(text_col)))
+    source = docs.withColumn("__pii_found", _matches(F.col(text_col)))
     if n == 0:
         attempt = "0"
     elif n <= LITERAL:
         pairs = [F.lit(x) for r in odd.collect() for x in (f"{r.kind}|{r.norm}", r.attempt)]
-        source = source.withColumn("pii_odd", F.create_map(*pairs))
-        attempt = "coalesce(element_at(pii_odd, concat(p.kind, '|', p.norm)), 0)"
+        source = source.withColumn("__pii_odd", F.create_map(*pairs))
+        attempt = "coalesce(element_at(__pii_odd, concat(p.kind, '|', p.norm)), 0)"
     else:
-        keyed = docs.select(F.col(text_col).alias("pii_text"), _matches(F.col(text_col)).alias("found")).where(F.size("found") > 0)
-        hits = keyed.select(F.sha2("pii_text", 256).alias("pii_key"), F.explode("found").alias("m")).select("pii_key", F.explode(F.expr(_parts("m"))).alias("p")).select("pii_key", "p.*").distinct().join(odd, ["kind", "norm"])
-        maps = hits.groupBy("pii_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("pii_odd"))
-        source = source.withColumn("pii_key", F.sha2(F.col(text_col), 256)).join(maps, "pii_key", "left").drop("pii_key")
-        attempt = "coalesce(element_at(pii_odd, concat(p.kind, '|', p.norm)), 0)"
-    made = f"transform(ps, p -> {surrogate_sql('p.kind', 'p.norm', attempt)})"
+        keyed = docs.select(F.col(text_col).alias("__pii_text"), _matches(F.col(text_col)).alias("found")).where(F.size("found") > 0)
+        hits = keyed.select(F.sha2("__pii_text", 256).alias("__pii_key"), F.explode("found").alias("m")).select("__pii_key", F.explode(F.expr(_parts("m"))).alias("p")).select("__pii_key", "p.*").distinct().join(odd, ["kind", "norm"])
+        maps = hits.groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__pii_odd"))
+        source = source.withColumn("__pii_key", F.sha2(F.col(text_col), 256)).join(maps, "__pii_key", "left").drop("__pii_key")
+        attempt = "coalesce(element_at(__pii_odd, concat(p.kind, '|', p.norm)), 0)"
+    made = f"transform(ps, p -> {surrogate_sql('p.kind', 'p.norm', attempt, key)})"
+    full = "size(ps) = 2 AND ps[1].kind = 'surname'"
+    person = ", ".join(f"'{name}', CASE WHEN {full} THEN {value} END" for name, value in (("old", "concat(ps[0].norm, ' ', ps[1].norm)"), ("new", "array_join(made, ' ')"), ("last", "ps[1].norm"), ("new_last", "made[1]")))
     # nested one-element transforms bind a value once
-    written = f"""transform(pii_found, m -> transform(array({_parts('m')}), ps -> transform(array({made}), made -> named_struct('kind', CASE WHEN size(ps) > 0 AND ps[0].kind IN ('surname', 'given_f', 'given_m') THEN 'name' ELSE ps[0].kind END, 'text', {_written('m', 'ps[0].kind', 'made')}))[0])[0])"""
-    source = source.withColumn("pii_new", F.expr(f"CASE WHEN size(pii_found) > 0 THEN {written} END"))
+    written = f"""transform(__pii_found, m -> transform(array({_parts('m')}), ps -> transform(array({made}), made -> named_struct('kind', CASE WHEN size(ps) > 0 AND ps[0].kind IN ('surname', 'given_f', 'given_m') THEN 'name' ELSE ps[0].kind END, 'text', {_written('m', 'ps[0].kind', 'made')}, {person}))[0])[0])"""
+    source = source.withColumn("__pii_new", F.expr(f"CASE WHEN size(__pii_found) > 0 THEN {written} END"))
     between = F.split(F.col(text_col), COMBINED, -1)
-    joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(F.col("pii_new.text"), i), F.lit("")))), "")
-    text = F.when(F.size("pii_found") > 0, joined).otherwise(F.col(text_col))
-    kinds = F.coalesce(F.col("pii_new.kind"), F.array().cast("array<string>"))
-    return source.withColumns({text_col: text, "pii_kinds": kinds}).drop("pii_found", "pii_new", "pii_odd")
+    joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(F.col("__pii_new.text"), i), F.lit("")))), "")
+    source = source.withColumn("__pii_text", F.when(F.size("__pii_found") > 0, joined).otherwise(F.col(text_col)))
+    kinds = F.coalesce(F.col("__pii_new.kind"), F.array().cast("array<string>"))
+    return source.withColumns({text_col: _coreferent(), "pii_kinds": kinds}).select(*order, "pii_kinds")
 
 
-def surrogate_digest(docs: DataFrame) -> DataFrame:
-    s = surrogates(docs.select("doc_id", "text"))
+def surrogate_digest(docs: DataFrame, key: str | None = None) -> DataFrame:
+    s = surrogates(docs.select("doc_id", "text"), key=key)
     return s.select("doc_id", "text", F.size("pii_kinds").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds"))
