@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import language, packing, pii, simhash, substrings
 from vectorloom.llm.common import stored
-from vectorloom.llm.registry import tokenizer_path
+from vectorloom.llm.registry import pii_key, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,7 +41,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates in place of personal data and secrets."""
-    return _counted(pii.surrogates(docs.select(*COLUMNS)))
+    return _counted(pii.surrogates(docs.select(*COLUMNS), key=pii_key(spark)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
