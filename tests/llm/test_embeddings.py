@@ -78,3 +78,22 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (6001, 6000), (6001, 6000)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, 6000: 6000, 6001: 6000}
+
+
+def test_recall_just_above_the_threshold(spark, monkeypatch):
+    """Pairs of cosine 0.9 to 0.92, by the bits and tables of a hundred million vectors."""
+    real = embeddings.fit
+    monkeypatch.setattr(embeddings, "fit", lambda x, n, threshold: real(x, 100_000_000, threshold))
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    turn = rng.normal(size=a.shape)
+    turn -= (turn * a).sum(1, keepdims=True) * a
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.92, (400, 1))
+    b = c * a + np.sqrt(1 - c * c) * turn
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = {r.vec_id: r for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    linked = sum(got[400 + i].component_id == i for i in range(400))
+    assert linked >= 0.95 * 400
+    assert sum(r.n_links for r in got.values()) == 2 * linked

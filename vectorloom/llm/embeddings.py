@@ -3,7 +3,7 @@
 Rotations are learned on a bounded sample of the vectors (``SAMPLE``): centred vectors are projected on their principal
 axes and turned so that their signs lose least (iterative quantisation), which balances the bits. Several rotations,
 each from another start, give a long binary code. The code is cut into tables of as many bits as the number of vectors
-asks for; two vectors are candidates if they agree on all bits of a table, and how many tables are needed is measured
+asks for (none for so few that they can be compared with each other); two vectors are candidates if they agree on all bits of a table, and how many tables are needed is measured
 on sample vectors turned by just the threshold's angle. Candidates are then ranked by the cosine of the original
 vectors in double precision.
 
@@ -34,9 +34,11 @@ THRESHOLD = 0.9
 SAMPLE = 10_000
 #: Share of pairs at just the threshold that the tables must bring together; closer pairs fare better.
 RECALL = 0.975
-#: Rows that a bucket holds on average, and rows of a cell at most.
-MEAN_BUCKET, CELL = 12, 3000
-MAX_DIM, MAX_TABLES = 128, 400
+#: Rows that a bucket holds on average, and rows of a cell at most. Each table carries a copy of the vectors, so large
+#: buckets, which need fewer tables, are paid for by comparisons (one matrix product a bucket) instead of disk.
+MEAN_BUCKET, CELL = 256, 3000
+#: Tables in a row without a further pair, after which they get a bit less.
+IDLE = 60
 
 
 @dataclass
@@ -64,11 +66,11 @@ def learn_rotation(v: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
 
 def fit(x: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Coder:
     """x: unit vectors of the sample; n: how many vectors there are in all."""
-    bits = int(np.clip(np.ceil(np.log2(max(2, n) / MEAN_BUCKET)), 4, 30))
+    bits = int(np.clip(np.ceil(np.log2(max(1, n) / MEAN_BUCKET)), 0, 30))
     mean = x.mean(0)
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, :MAX_DIM]
+    axes = axes[:, ::-1]
     v = centred @ axes
     rng = np.random.default_rng(7)
     probe = x[rng.permutation(len(x))[:1500]]
@@ -77,13 +79,18 @@ def fit(x: np.ndarray, n: int, threshold: float = THRESHOLD, recall: float = REC
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
     turned = threshold * probe + np.sqrt(1 - threshold**2) * noise
     planes = np.empty((x.shape[1], 0))
-    tables, hit = 0, np.zeros(len(probe), bool)
-    while tables < MAX_TABLES and (tables == 0 or hit.mean() < recall):
+    tables, hit, idle = 0, np.zeros(len(probe), bool), 0
+    while tables == 0 or hit.mean() < recall:
+        if idle > IDLE:  # vectors of few dimensions: larger buckets instead, at last one for all
+            bits, tables, idle = bits - 1, 0, 0
+            hit[:] = False
         if planes.shape[1] < bits * (tables + 1):
             planes = np.hstack([planes, axes @ learn_rotation(v, planes.shape[1])])
             continue
         part = planes[:, bits * tables : bits * (tables + 1)]
-        hit |= (((probe - mean) @ part >= 0) == ((turned - mean) @ part >= 0)).all(1)
+        new = (((probe - mean) @ part >= 0) == ((turned - mean) @ part >= 0)).all(1) & ~hit
+        idle = 0 if new.any() else idle + 1
+        hit |= new
         tables += 1
     return Coder(mean, planes[:, : bits * tables], bits, tables)
 
@@ -171,14 +178,15 @@ def _compare(cells: DataFrame, coder: Coder, dim: int, threshold: float) -> Data
                     i, j = i[keep], j[keep]
                     if not len(i):
                         continue
-                    rows = np.unique(np.concatenate([i, j]))
-                    signs = np.unpackbits(np.frombuffer(b"".join([codes[r] for r in rows]), np.uint8).reshape(len(rows), -1), axis=1)[:, : bits * tables].reshape(len(rows), tables, bits)
-                    pi, pj = rows.searchsorted(i), rows.searchsorted(j)
-                    first = np.empty(len(i), np.int64)
-                    for s in range(0, len(i), 4096):
-                        first[s : s + 4096] = (signs[pi[s : s + 4096]] == signs[pj[s : s + 4096]]).all(2).argmax(1)
-                    keep = first == key[i] >> 32
-                    i, j = i[keep], j[keep]
+                    if bits:  # else there is one table
+                        rows = np.unique(np.concatenate([i, j]))
+                        signs = np.unpackbits(np.frombuffer(b"".join([codes[r] for r in rows]), np.uint8).reshape(len(rows), -1), axis=1)[:, : bits * tables].reshape(len(rows), tables, bits)
+                        pi, pj = rows.searchsorted(i), rows.searchsorted(j)
+                        first = np.empty(len(i), np.int64)
+                        for s in range(0, len(i), 4096):
+                            first[s : s + 4096] = (signs[pi[s : s + 4096]] == signs[pj[s : s + 4096]]).all(2).argmax(1)
+                        keep = first == key[i] >> 32
+                        i, j = i[keep], j[keep]
                     np.add.at(links, i, weight[j])
                     np.add.at(links, j, weight[i])
                     for p, q in zip(i.tolist(), j.tolist()):
