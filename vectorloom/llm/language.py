@@ -481,6 +481,8 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 judge(todo)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], RESULTS)
 
+    # else a filter on a result would have every text judged twice
+    judged = judged.asNondeterministic()
     others = [c for c in docs.columns if c not in (*RESULTS, "language_found")]
     return docs.select(*others, judged(F.col(text_col).cast("string")).alias("language_found")).select(*others, "language_found.*")
 
