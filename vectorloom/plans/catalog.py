@@ -398,7 +398,7 @@ def zipf_queries(spark, sf):
     return evaluate.zipf_queries(corpus(spark, sf), 200).groupBy("row_id").agg(F.count("*").alias("drawn"))
 
 
-_BLOCKS = "blocks AS (SELECT o_custkey % 20 AS query_id, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS block, 1 + o_orderkey % 5 AS weight, CASE WHEN o_orderkey % 7 < 4 THEN 1 ELSE 0 END AS entered FROM orders WHERE o_orderkey <= 4000)"
+_BLOCKS = "blocks AS (SELECT o_custkey % 20 AS query_id, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS block, 1 + o_orderkey % 5 AS weight, CASE WHEN o_orderkey % 7 < 4 THEN 1 ELSE 0 END AS entered FROM orders)"
 
 
 @register(
@@ -408,7 +408,7 @@ _BLOCKS = "blocks AS (SELECT o_custkey % 20 AS query_id, row_number() OVER (PART
     "SELECT rule, a.query_id, count(*) AS blocks, round(sum(weight) / any_value(total)::DOUBLE, 9) AS fraction FROM a JOIN f USING (query_id) WHERE halt IS NULL OR pos <= halt GROUP BY 1, 2",
 )
 def trace_replay(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey <= 4000")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
     w = Window.partitionBy("query_id").orderBy("o_orderkey")
     blocks = o.withColumn("query_id", F.col("o_custkey") % 20).select("query_id", F.row_number().over(w).alias("block"), (1 + F.col("o_orderkey") % 5).alias("weight"), F.when(F.col("o_orderkey") % 7 < 4, 1).otherwise(0).alias("entered"), F.lit(None).cast("double").alias("kth"))
     runs = [routing.replayed(blocks, "fixed", 0.25, K).withColumn("rule", F.lit("fixed")), routing.replayed(blocks, "stall", 3, K, min_blocks=5).withColumn("rule", F.lit("stall"))]
