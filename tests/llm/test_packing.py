@@ -68,3 +68,39 @@ def test_forgetting_changes_nothing(monkeypatch, small):
     for at in range(0, len(texts), 7):
         for got, want in zip(e.encode(texts[at : at + 7]), direct(texts[at : at + 7])):
             assert np.frombuffer(got, e.dtype).tolist() == want[:-1]
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.given += len(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_known_words_are_not_encoded_again():
+    e = packing.WordEncoder(PATH)
+    words = [f"w{'abcdefghij'[i % 10] * (i % 7 + 1)}{'xyz'[i % 3] * (i // 21)}" for i in range(400)]
+    texts = [s.join(words) for s in (" ", "  ", " \n ", ", ", "... ")]
+    e.encode(texts)
+    e.tokenizer = Counting(e.tokenizer)
+    for got, want in zip(e.encode(texts), direct(texts)):
+        assert np.frombuffer(got, e.dtype).tolist() == want[:-1]
+    assert e.tokenizer.given < 0.02 * sum(map(len, texts))
+
+
+def test_long_stretches_are_not_remembered():
+    import pickle
+
+    e = packing.WordEncoder(PATH)
+    texts = [f"a {'ab%d' % i * 5000} b" for i in range(100)]
+    for got, want in zip(e.encode(texts), direct(texts)):
+        assert np.frombuffer(got, e.dtype).tolist() == want[:-1]
+    assert len(pickle.dumps(vars(e.stretches))) < 10_000
