@@ -48,3 +48,11 @@ def test_against_stage_by_stage_truth(spark, small):
     import test_packing
 
     test_packing.check(corpus_pipeline.pack_sequences(spark, final, small).collect(), list(four.items()))
+
+
+def test_each_text_is_handled_once(spark, small):
+    """Filters on what Python workers give don't make them work twice, with twice the workers."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.cut_repeated_passages):
+        plan = stage(spark, docs, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython ") == 1, stage.__name__

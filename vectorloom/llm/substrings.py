@@ -470,6 +470,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
             text.append("".join([p.decode("utf-8", "ignore") for p in parts]))
         return pa.StructArray.from_arrays([pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(text, pa.string())], ["n_removed", "n_spans", "spans", "kept", "text"])
 
+    # else a filter on a result would have every text cut twice, with twice the workers
+    removed = removed.asNondeterministic()
     whole = F.col("first").isNull() & F.col("doc").isNotNull() & (F.octet_length("body") >= LENGTH)
     out = found.withColumn("out", removed("body", "pos", "mark", whole))
     return out.select(F.col("doc").alias("doc_id"), F.octet_length("body").cast("long").alias("n_bytes"), "out.*", "carry")
