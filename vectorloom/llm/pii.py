@@ -22,6 +22,8 @@ alike; rows with null ids are rewritten too; other columns are kept by ``surroga
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +48,29 @@ _TITLE_F, _TITLE_M, _TITLE_N = "Mrs|Ms|Miss|Mme|Mlle|Madame|Frau|Señora|Sra", "
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 
-#: In this order; a text position belongs to the first that matches there.
-PATTERNS = {
-    "email": r"\b[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_?key)(?: ?[=:] ?)\x22?(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{6,}\x22?",
-    "aws": r"\bA[KS]IA[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ipv6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b",
-    "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b",
-    "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}\b|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
-    "name": rf"\b(?:{_TITLE_F}|{_TITLE_M}|{_TITLE_N})\.? {_WORD}(?: {_WORD})?|\b(?:{_ALL_GIVEN}) {_WORD}",
+#: What begins at a word's edge, by kind and in this order, each with the characters it may begin with; a text position
+#: belongs to the first that matches there. Nothing gives back of an address's first part: it has no @.
+_EDGED = {
+    "email": ("", [r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}"]),
+    "secret": ("[AaPpSsTt]", [r"(?i:password|passwd|pwd|token|secret|api_?key)(?: ?[=:] ?)\x22?(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{6,}\x22?"]),
+    "aws": ("[A-Z]", [r"A[KS]IA[0-9A-Z]{16}\b"]),
+    "iban": ("[A-Z]", [r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"]),
+    "ipv6": ("[0-9A-Fa-f]{1,4}:", [r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b", r"(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b"]),
+    "ip": ("[0-9]", [r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\b"]),
+    "card": ("[0-9]", [r"[0-9](?:[ -]?[0-9]){12,18}\b"]),
+    "ssn": ("[0-9]", [r"[0-9]{3}-[0-9]{2}-[0-9]{4}\b"]),
+    "phone": ("[0-9]", [r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b"]),
+    "name": (r"\p{Lu}", [rf"(?:{_TITLE_F}|{_TITLE_M}|{_TITLE_N})\.? {_WORD}(?: {_WORD})?", rf"(?:{_ALL_GIVEN}) {_WORD}"]),
 }
+#: What begins with a plus or a bracket, anywhere.
+_LOOSE = {"phone": [r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}\b", r"\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}\b"]}
+PATTERNS = {k: "|".join([*_LOOSE.get(k, []), *(rf"\b{p}" for p in ps)]) for k, (_, ps) in _EDGED.items()}
 COMBINED = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity; the costly pattern then isn't tried.
-_CUE = rf"[@0-9=:]|\b(?:{_TITLE_F}|{_TITLE_M}|{_TITLE_N})\b|\b(?:{_ALL_GIVEN})\b"
+#: Finds what ``COMBINED`` finds in about a fifth of the time: an edge is looked for once, and only what may begin with the next character is tried.
+SEARCH = (
+    r"\b(?:" + "|".join(f"(?={first})(?:{'|'.join(p for _, ps in group for p in ps)})" for first, group in groupby(_EDGED.values(), lambda x: x[0]))
+    + ")|(?=[+(])(?:" + "|".join(_LOOSE["phone"]) + ")"
+)
 
 
 def _q(s: str) -> str:
@@ -200,13 +209,18 @@ def _written(m: str, kind: str, made: str) -> str:
 
 
 def _matches(text: Column) -> Column:
-    return F.when(text.rlike(_CUE), F.regexp_extract_all(text, F.lit(COMBINED), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(SEARCH), F.lit(0)), F.array().cast("array<string>"))
+
+
+def _each_match(found: DataFrame) -> DataFrame:
+    """A row for each element of ``found``, as ``m``. The outer form, as for the inner one Spark adds a filter that searches all texts again."""
+    return found.withColumn("m", F.explode_outer("found")).drop("found").where("m IS NOT NULL")
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct (kind, norm) of all texts."""
-    found = docs.select(_matches(F.col(text_col)).alias("found")).where(F.size("found") > 0)
-    return found.select(F.explode("found").alias("m")).select(F.explode(F.expr(_parts("m"))).alias("p")).select("p.kind", "p.norm").distinct()
+    found = _each_match(docs.select(_matches(F.col(text_col)).alias("found")))
+    return found.select(F.explode(F.expr(_parts("m"))).alias("p")).select("p.kind", "p.norm").distinct()
 
 
 #: Known given names are permuted within their lists, so they can't collide.
@@ -261,8 +275,8 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: str | None = None)
         source = source.withColumn("__pii_odd", F.create_map(*pairs))
         attempt = "coalesce(element_at(__pii_odd, concat(p.kind, '|', p.norm)), 0)"
     else:
-        keyed = docs.select(F.col(text_col).alias("__pii_text"), _matches(F.col(text_col)).alias("found")).where(F.size("found") > 0)
-        hits = keyed.select(F.sha2("__pii_text", 256).alias("__pii_key"), F.explode("found").alias("m")).select("__pii_key", F.explode(F.expr(_parts("m"))).alias("p")).select("__pii_key", "p.*").distinct().join(odd, ["kind", "norm"])
+        keyed = _each_match(docs.select(F.sha2(F.col(text_col), 256).alias("__pii_key"), _matches(F.col(text_col)).alias("found")))
+        hits = keyed.select("__pii_key", F.explode(F.expr(_parts("m"))).alias("p")).select("__pii_key", "p.*").distinct().join(odd, ["kind", "norm"])
         maps = hits.groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "attempt"))).alias("__pii_odd"))
         source = source.withColumn("__pii_key", F.sha2(F.col(text_col), 256)).join(maps, "__pii_key", "left").drop("__pii_key")
         attempt = "coalesce(element_at(__pii_odd, concat(p.kind, '|', p.norm)), 0)"
@@ -272,7 +286,7 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: str | None = None)
     # nested one-element transforms bind a value once
     written = f"""transform(__pii_found, m -> transform(array({_parts('m')}), ps -> transform(array({made}), made -> named_struct('kind', CASE WHEN size(ps) > 0 AND ps[0].kind IN ('surname', 'given_f', 'given_m') THEN 'name' ELSE ps[0].kind END, 'text', {_written('m', 'ps[0].kind', 'made')}, {person}))[0])[0])"""
     source = source.withColumn("__pii_new", F.expr(f"CASE WHEN size(__pii_found) > 0 THEN {written} END"))
-    between = F.split(F.col(text_col), COMBINED, -1)
+    between = F.split(F.col(text_col), SEARCH, -1)
     joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(F.col("__pii_new.text"), i), F.lit("")))), "")
     source = source.withColumn("__pii_text", F.when(F.size("__pii_found") > 0, joined).otherwise(F.col(text_col)))
     kinds = F.coalesce(F.col("__pii_new.kind"), F.array().cast("array<string>"))
