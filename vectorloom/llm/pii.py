@@ -213,7 +213,7 @@ def _matches(text: Column) -> Column:
 
 
 def _each_match(found: DataFrame) -> DataFrame:
-    """A row for each element of ``found``, as ``m``. The outer form, as for the inner one Spark adds a filter that searches all texts again."""
+    """A row for each element of ``found``, as ``m``. The outer form: for the inner one Spark adds a filter that repeats the search."""
     return found.withColumn("m", F.explode_outer("found")).drop("found").where("m IS NOT NULL")
 
 
