@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectorloom.operators import evaluate, exact, routing, stats, summary, topk
 from vectorloom.functions.predicates import Op, Predicate as P, matches
@@ -92,3 +93,53 @@ def test_recall(spark):
     assert evaluate.recall_at_k(results, truth, 3).first()[0] == pytest.approx(2 / 3)
     assert evaluate.proximity(results, truth, 2).first()[0] == 1.0
     assert evaluate.filtered_recall(results, truth, truth.where("row_id in (11, 13)").select("row_id"), 2).first()[0] == 0.5
+
+
+def test_rounded_distances_rank_as_in_spark(spark, monkeypatch):
+    """A task keeps the k best by rounded distance and id, few rows of all, and no number of queries is refused."""
+    monkeypatch.setattr(exact, "QUERIES", 7)
+    rng = np.random.default_rng(5)
+    x = (rng.integers(-4, 5, (900, 6)) / 8).astype(np.float32)  # squares end in .x5 and tie
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 900, 45)], "query_id long, embedding array<float>")
+    from vectorloom.functions.vectors import distance
+
+    small = queries.withColumnRenamed("embedding", "query")
+    every = base.join(small).select("query_id", "row_id", distance(F.col("query"), F.col("embedding"), "l2").alias("dist")).withColumn("key", F.round("dist", 1)).collect()
+    for newest in (True, False):
+        found = exact.nearest(queries, base, 7, digits=1, newest=newest).collect()
+        assert len(found) <= 7 * 20 * spark.sparkContext.defaultParallelism
+        for q in range(0, 900, 45):
+            order = lambda r: (r.key if "key" in r else float(f"{exact.half_up(np.array([r.dist]), 1)[0] / 10}"), -r.row_id if newest else r.row_id)
+            want, got = (sorted((r for r in rows if r.query_id == q), key=order)[:7] for rows in (every, found))
+            assert [(r.row_id, r.dist) for r in got] == [(r.row_id, r.dist) for r in want]
+    d = np.array([0.25, 0.35, 1.05, 2.675, 0.15, 0.1, -0.25, -0.34999999999999998, 123.449999999999989])
+    rounded = spark.createDataFrame([(i, float(v)) for i, v in enumerate(d)], "i int, d double").select("i", F.round("d", 1).alias("r")).collect()
+    assert [r.r for r in sorted(rounded)] == [v / 10 for v in exact.half_up(d, 1)]
+
+
+def test_pairs_within_a_distance(spark, data):
+    x, base, queries = data
+    many = spark.range(10_500).select(F.col("id").alias("query_id"), F.expr("transform(sequence(1, 12), i -> cast(100 as float))").alias("embedding"))
+    assert exact.within(many, base, 1.0).count() == 0
+    got = {(r.query_id, r.row_id) for r in exact.within(queries, base, 9.0).collect()}
+    assert got == {(q, i) for q in (0, 7, 100, 250) for i in range(300) if ((x[i] - x[q]) ** 2).sum() <= 9.0}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_best_of_each_group(data, metric):
+    x, base, queries = data
+    got = exact.nearest(queries, base, 3, metric, group="label").collect()
+    for q in (0, 7, 100, 250):
+        for g in range(5):
+            mine = sorted((r for r in got if (r.query_id, r.label) == (q, g)), key=lambda r: (round(r.dist, 9), -r.row_id))
+            assert [r.row_id for r in mine[:3]] == brute(x, q, 3, metric, keep=lambda i: i % 5 == g)
+
+
+def test_few_rows_a_query_leave_a_sweep(spark, small):
+    """What ranks pairs of all rows gets no more than some rows a query and task."""
+    from vectorloom.plans import catalog
+
+    for name in ("ties_at_k", "w_sweep", "probe_plane"):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "zip_with" not in plan, name

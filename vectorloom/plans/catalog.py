@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vectorloom.functions.predicates import Op, Predicate, matches, parse
 from vectorloom.functions.vectors import IP, L2, distance, normalized
 from vectorloom.operators import evaluate, explore, quantizers, routing, stats, summary, topk, training
-from vectorloom.operators.exact import exact_knn, scan_distances
+from vectorloom.operators.exact import exact_knn, nearest, within
 from vectorloom.operators.index import BuildOptions, Index, IndexBuilder, SearchOptions
 from vectorloom.plans.corpus import FILTERS, SQL_BASE, corpus, dot, embeddings, knn_sql, l2, queries as query_set
 from vectorloom.sources import files
@@ -59,7 +59,7 @@ def exact_knn_self_excluded(spark, sf):
 
 @register("range_scan_expressions", f"WITH {SQL_BASE} SELECT query_id, row_id, {l2('q', 'embedding')} AS dist FROM base, queries WHERE {l2('q', 'embedding')} <= 1.2")
 def range_scan_expressions(spark, sf):
-    return scan_distances(query_set(spark, sf), corpus(spark, sf)).where("dist <= 1.2D").select("query_id", "row_id", "dist")
+    return within(query_set(spark, sf), corpus(spark, sf), 1.2)
 
 
 @register(
@@ -343,7 +343,7 @@ _SWEEP = f"""WITH {SQL_BASE}, s AS (SELECT query_id, row_id, round({l2('q', 'emb
 
 @register("w_sweep", _SWEEP)
 def w_sweep(spark, sf):
-    scanned = scan_distances(query_set(spark, sf), corpus(spark, sf)).withColumn("scan_key", F.round("dist", 1))
+    scanned = nearest(query_set(spark, sf), corpus(spark, sf), 50, digits=1, newest=False).withColumn("scan_key", F.round("dist", 1))
     return topk.width_sweep(scanned, [10, 20, 50], K).select("width", "query_id", "rank", "row_id", "dist")
 
 
@@ -379,7 +379,7 @@ def proximity_in_band(spark, sf):
 
 @register("ties_at_k", knn_sql(50, dist=f"round({l2('q', 'embedding')}, 1)", tail=", kth AS (SELECT query_id, dist AS kth FROM knn WHERE rank = 10) SELECT query_id, count(*) AS ties FROM knn JOIN kth USING (query_id) WHERE dist = kth GROUP BY 1").replace("WHERE rn <= 50)\n      ,", "WHERE rn <= 50),"))
 def ties_at_k(spark, sf):
-    rounded = scan_distances(query_set(spark, sf), corpus(spark, sf)).withColumn("dist", F.round("dist", 1))
+    rounded = nearest(query_set(spark, sf), corpus(spark, sf), 50, digits=1).withColumn("dist", F.round("dist", 1))
     return evaluate.ties_at_k(topk.ranked(rounded, 50), K)
 
 
