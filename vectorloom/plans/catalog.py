@@ -289,8 +289,8 @@ def probe_descent(spark, sf):
     w AS (SELECT m.*, weight, sum(weight) OVER (PARTITION BY query_id ORDER BY score DESC, leaf_id ROWS UNBOUNDED PRECEDING) - weight AS before, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leaf_id) AS rn, (SELECT sum(weight) FROM weights) AS total FROM member m JOIN weights USING (leaf_id)) SELECT query_id, leaf_id FROM w WHERE before < 0.25 * total - 0.5 OR rn = 1""",
 )
 def probe_plane(spark, sf):
-    df, q = corpus(spark, sf), F.broadcast(query_set(spark, sf).withColumnRenamed("embedding", "query"))
-    members = df.join(q, F.lit(True)).select("query_id", F.col("label").alias("leaf_id"), (-distance(F.col("query"), F.col("embedding"), IP)).alias("score"))
+    df = corpus(spark, sf)
+    members = nearest(query_set(spark, sf), df, 1, IP, group="label").select("query_id", F.col("label").alias("leaf_id"), (-F.col("dist")).alias("score"))
     leaves = df.groupBy(F.col("label").alias("leaf_id")).agg(F.count("*").alias("weight"))
     return routing.by_plane(members, leaves, 0.25).select("query_id", "leaf_id")
 
