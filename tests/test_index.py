@@ -3,7 +3,7 @@ import pytest
 
 from vectorloom.functions.predicates import InvalidPredicate, Op, Predicate as P
 from vectorloom.operators import evaluate, quantizers
-from vectorloom.operators.exact import exact_knn
+from vectorloom.operators.exact import exact_knn, nearest
 from vectorloom.operators.index import BuildOptions, Index, IndexBuilder, SearchOptions
 from vectorloom.streaming.serve import Server, ingest
 
@@ -135,3 +135,46 @@ def test_feedback_trace(queries, index):
         by.setdefault(r.query_id, []).append(r)
     assert len(by) == 10 and all(b[0].entered == 5 for b in by.values())
     assert all(x.kth is None or y.kth <= x.kth for b in by.values() for x, y in zip(b, b[1:]))
+
+
+def _by_shortlist(index, queries, k, predicates, width):
+    leaves = index.table("leaves")
+    return listed(index._shortlisted(queries, k, index._all(queries, leaves), leaves, predicates, width, SearchOptions()))
+
+
+@pytest.mark.parametrize("quantizer", ["local_scalar", "pq"])
+def test_a_search_of_all_leaves_is_that_of_its_shortlist(rows, queries, tmp_path, quantizer):
+    """Also where the shortlist is too short for all that is visited, or even for the nearest rows."""
+    index = Index.build(rows, str(tmp_path / "w"), BuildOptions(**SMALL, quantizer=quantizer, **({"m": 2, "bits": 2} if quantizer == "pq" else {})), payload="payload")
+    for width in (12, 60, 1 << 20):
+        for predicates in ([], [P("year", Op.LT, 2025)]):
+            got = index.search(queries, 10, predicates, SearchOptions(exhaustive=True, width=width))
+            assert listed(got) == _by_shortlist(index, queries, 10, predicates, width), (width, predicates)
+
+
+def test_a_search_of_all_leaves_forms_no_pairs(queries, index, monkeypatch):
+    """No query is listed with each leaf, and no pair of a query and a row is shortlisted, where the width holds all."""
+    from vectorloom.operators import index as module
+
+    monkeypatch.setattr(module.Index, "scan", None)
+    found = index.search(queries, 10, [P("year", Op.LT, 2025)], ALL)
+    assert found.count() == 100 and "askers" not in found._jdf.queryExecution().toString()
+
+
+def test_a_trace_sends_the_best_of_a_cluster_only(queries, index, monkeypatch):
+    from vectorloom.operators import index as module
+
+    sent = []
+    monkeypatch.setattr(module, "nearest", lambda *a, **o: sent.append(nearest(*a, **o)) or sent[0])
+    index.feedback_blocks(queries, 5).count()
+    clusters = index.table("leaves").select("cluster_id").distinct().count()
+    assert sent[0].count() <= 10 * 5 * clusters * queries.sparkSession.sparkContext.defaultParallelism
+
+
+def test_estimates_are_the_decoded_distances(rows, queries, index):
+    decoded = {(r.query_id, r.row_id): r.dist for r in index.search(queries, 1 << 20, options=SearchOptions(exhaustive=True, width=1 << 20, rerank="decoded")).collect()}
+    pairs = exact_knn(queries, rows, 10)
+    least = {}
+    for r in index.estimates(pairs, queries).collect():
+        least[r.query_id, r.row_id] = min(r.estimate, least.get((r.query_id, r.row_id), np.inf))
+    assert len(least) == 100 and all(v == pytest.approx(decoded[p], abs=1e-9) for p, v in least.items())

@@ -22,7 +22,7 @@ from vectorloom.functions.predicates import Predicate, matches
 from vectorloom.functions.vectors import IP, L2, distance, normalized
 from vectorloom.operators import quantizers, routing, stats, summary, training
 from vectorloom.operators.batches import runs, whole_groups
-from vectorloom.operators.exact import exact_knn, matrix
+from vectorloom.operators.exact import SLACK, exact_knn, matrix, nearest
 from vectorloom.operators.topk import adaptive_cut, auto_tau, deduplicated, ranked, shortlist_width
 from vectorloom.sources.workspace import checkpointed, children, delete, shared_dir
 
@@ -247,11 +247,18 @@ class Index:
         if plan == "scan":
             return exact_knn(queries, self.table("vectors"), k, self.manifest["metric"], predicates)
         leaves = summary.surviving(self.table("leaves"), predicates, self.schema)
-        if plan == "visit_matching" or o.exhaustive:
+        every = plan == "visit_matching" or o.exhaustive
+        if every:
             probes = self._all(queries, leaves)
         else:
             probes = self.probes(queries, o, leaves)
         width = shortlist_width(k, o.width)
+        if every and o.rerank == "exact" and o.tau is None:
+            return self._every(queries, k, leaves, predicates, width)
+        return self._shortlisted(queries, k, probes, leaves, predicates, width, o)
+
+    def _shortlisted(self, queries: DataFrame, k: int, probes: DataFrame, leaves: DataFrame, predicates: list[Predicate], width: int, o: SearchOptions) -> DataFrame:
+        """The search proper: a shortlist by codes, then its order by what is asked for."""
         scanned = self.scan(queries, probes, leaves, predicates, width)
         if o.rerank == "exact":
             vectors = self.table("vectors").select("row_id", "embedding")
@@ -265,6 +272,82 @@ class Index:
             return adaptive_cut(rows, k, o.tau or auto_tau(code[0] if code else 0))
         return ranked(rows, k)
 
+    def _every(self, queries: DataFrame, k: int, leaves: DataFrame, predicates: list[Predicate], width: int) -> DataFrame:
+        """A search in which every query visits the same leaves and reranks by vectors.
+
+        The shortlist itself is not formed: where it would hold all that is visited, the answer is the order of the
+        visited rows; where it is shorter, that holds for each query whose k best rows are no further down by their
+        codes than its width, which is counted. Only the other queries take their shortlists."""
+        metric = self.manifest["metric"]
+        members = matches(self.table("members"), predicates).join(leaves.select("leaf_id"), "leaf_id", "left_semi")
+        rows = self.table("vectors").select("row_id", "embedding").join(members.select("row_id"), "row_id", "left_semi")
+        best = ranked(nearest(queries, rows, k, metric), k).select("query_id", "row_id", "dist", "rank")
+        if (leaves.agg(F.sum("weight")).first()[0] or 0) <= width or members.count() <= width:
+            return best
+        best = checkpointed(best)
+        last = self.estimates(best, queries).groupBy("query_id", "row_id").agg(F.min("estimate").alias("least")).groupBy("query_id").agg(F.max("least").alias("last"))
+        ahead = self._ahead(queries.join(last, "query_id"), members, leaves)
+        short = checkpointed(ahead.where(F.col("ahead") > width).select("query_id"))
+        if short.isEmpty():
+            return best
+        rest = queries.join(F.broadcast(short), "query_id", "left_semi")
+        found = self._shortlisted(rest, k, self._all(rest, leaves), leaves, predicates, width, SearchOptions())
+        return best.join(F.broadcast(short), "query_id", "left_anti").unionByName(found.select(*best.columns))
+
+    def _coded(self, rows: DataFrame, leaves: DataFrame) -> DataFrame:
+        """Member rows with the state of their leaf, leaves in order."""
+        if self._state()["quantizer"].local:
+            rows = rows.join(leaves.select("leaf_id", "state"), "leaf_id")
+        else:
+            rows = rows.withColumn("state", F.lit(b""))
+        return rows.sortWithinPartitions("leaf_id", "row_id")
+
+    def estimates(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, row_id, leaf_id, estimate): the decoded distances of pairs, one a replica of the row."""
+        metric, dim = self.manifest["metric"], self.manifest["dim"]
+        shared = self.spark.sparkContext.broadcast(self._state()["quantizer"])
+        asked = pairs.select("query_id", "row_id").join(queries.select("query_id", F.col("embedding").alias("query")), "query_id")
+        rows = self._coded(self.table("members").select("leaf_id", "row_id", "code").join(asked, "row_id"), self.table("leaves"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in whole_groups(batches):
+                codes, states = chunk.column("code").to_pylist(), chunk.column("state")
+                x = matrix(chunk.column("query").combine_chunks(), dim)
+                found = np.empty(len(x))
+                for a, b in runs(chunk.column("leaf_id").to_numpy()):
+                    v = _decoded(shared.value, codes[a:b], states[a].as_py())
+                    s = -np.einsum("ij,ij->i", x[a:b], v)
+                    found[a:b] = 2 * s + (v * v).sum(1) + (x[a:b] ** 2).sum(1) if metric == L2 else s
+                yield from chunk.select(["query_id", "row_id", "leaf_id"]).append_column("estimate", pa.array(found)).combine_chunks().to_batches()
+
+        return rows.select("leaf_id", "row_id", "code", "state", "query_id", "query").mapInArrow(run, "query_id long, row_id long, leaf_id long, estimate double")
+
+    def _ahead(self, queries: DataFrame, members: DataFrame, leaves: DataFrame) -> DataFrame:
+        """(query_id, ahead): how many members lie no farther by their codes than the query's ``last``, or hardly so."""
+        metric = self.manifest["metric"]
+        block = [(r.query_id, np.asarray(r.embedding, np.float64), r.last) for r in queries.select("query_id", "embedding", "last").toLocalIterator()]
+        shared = self.spark.sparkContext.broadcast((self._state()["quantizer"], np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block]), np.array([b[2] for b in block])))
+        rows = self._coded(members.select("leaf_id", "row_id", "code"), leaves)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, ids, x, last = shared.value
+            norms = (x * x).sum(1)
+            n = np.zeros(len(ids), np.int64)
+            for chunk in whole_groups(batches):
+                codes, states = chunk.column("code").to_pylist(), chunk.column("state")
+                v = np.concatenate([_decoded(q, codes[a:b], states[a].as_py()) for a, b in runs(chunk.column("leaf_id").to_numpy())])
+                for a in range(0, len(ids), 512):
+                    part, lengths = slice(a, a + 512), norms[a : a + 512, None]
+                    for b in range(0, len(v), 4096):
+                        w = v[b : b + 4096]
+                        square = (w * w).sum(1)
+                        s = -(x[part] @ w.T)
+                        s = (2 * s + square + lengths if metric == L2 else s) - SLACK * (1 + square + lengths)
+                        n[part] += (s <= last[part, None]).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["query_id", "ahead"])
+
+        return rows.select("leaf_id", "row_id", "code", "state").mapInArrow(run, "query_id long, ahead long").groupBy("query_id").agg(F.sum("ahead").alias("ahead"))
+
     @staticmethod
     def _all(queries: DataFrame, leaves: DataFrame) -> DataFrame:
         return leaves.select("leaf_id").join(F.broadcast(queries.select("query_id")), F.lit(True))
@@ -361,14 +444,9 @@ class Index:
         if not block:
             return self.spark.createDataFrame([], "query_id long, leaf_id long, row_id long, scan_key double")
         shared = self.spark.sparkContext.broadcast((model["quantizer"], np.array([b[0] for b in block], np.int64), np.stack([b[1] for b in block])))
-        local = model["quantizer"].local
         askers = probes.groupBy("leaf_id").agg(F.collect_set("query_id").alias("askers"))
         rows = matches(self.table("members"), predicates).select("leaf_id", "row_id", "code").join(askers, "leaf_id")
-        if local:
-            rows = rows.join(leaves.select("leaf_id", "state"), "leaf_id")
-        else:
-            rows = rows.withColumn("state", F.lit(b""))
-        rows = rows.select("leaf_id", "row_id", "code", "state", "askers").sortWithinPartitions("leaf_id", "row_id")
+        rows = self._coded(rows, leaves).select("leaf_id", "row_id", "code", "state", "askers")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, ids, x = shared.value
@@ -379,8 +457,7 @@ class Index:
                 codes = chunk.column("code").to_pylist()
                 for a, b in runs(leaf):
                     asked = np.array([at[i] for i in chunk.column("askers")[a].as_py()])
-                    code = np.frombuffer(b"".join(codes[a:b]), np.uint8).reshape(b - a, -1)
-                    v = q.decode_leaf(code, chunk.column("state")[a].as_py()) if q.local else q.decode(code)
+                    v = _decoded(q, codes[a:b], chunk.column("state")[a].as_py())
                     s = -(x[asked] @ v.T)
                     if metric == L2:
                         s = 2 * s + (v * v).sum(1) + (x[asked] ** 2).sum(1)[:, None]
@@ -405,8 +482,8 @@ class Index:
         centres = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model["centres"])], "cluster_id int, projected array<double>").join(F.broadcast(weights), "cluster_id")
         order = self._to_centres(queries, centres).withColumn("block", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "cluster_id"))).drop("dist")
         vectors = self.table("vectors").select("row_id", "embedding")
-        home = self.table("members").select("leaf_id", "row_id").join(self.table("leaves").select("leaf_id", "cluster_id"), "leaf_id").join(vectors, "row_id").select("cluster_id", "row_id", "embedding").distinct()
-        measured = home.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query"))), F.lit(True)).select("query_id", "cluster_id", "row_id", distance(F.col("query"), F.col("embedding"), self.manifest["metric"]).alias("dist"))
+        home = self.table("members").select("leaf_id", "row_id").join(self.table("leaves").select("leaf_id", "cluster_id"), "leaf_id").select("cluster_id", "row_id").distinct().join(vectors, "row_id")
+        measured = nearest(queries, home, k, self.manifest["metric"], group="cluster_id")
         # only a block's k best can enter
         best = measured.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "cluster_id").orderBy("dist", F.desc("row_id")))).where(F.col("n") <= k).drop("n")
 
