@@ -625,6 +625,11 @@ class Index:
         return self.table("members").agg(F.count("*").alias("slots"), F.count_distinct("row_id").alias("rows"))
 
 
+def _decoded(q, codes: list[bytes], state: bytes) -> np.ndarray:
+    code = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return q.decode_leaf(code, state) if q.local else q.decode(code)
+
+
 def _best(parts: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, leaf, row = (np.concatenate([p[i] for p in parts]) for i in range(3))
     keep = np.lexsort((row, leaf, key))[:width]
