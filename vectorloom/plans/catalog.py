@@ -547,7 +547,7 @@ def quantizer_distortion(spark, sf):
     out = None
     for m in (8, 16, 32):
         index = built(spark, sf, quantizer="pq", m=m, bits=4)
-        decoded = index.search(q, 1 << 20, options=SearchOptions(exhaustive=True, width=1 << 20, rerank="decoded")).select("query_id", "row_id", F.col("dist").alias("estimate"))
+        decoded = index.estimates(truth, q).groupBy("query_id", "row_id").agg(F.min("estimate").alias("estimate"))
         both = truth.join(decoded, ["query_id", "row_id"])
         row = evaluate.distortion(both).join(evaluate.correlation(both), F.lit(True)).select(F.lit(m).alias("m"), "distortion", "correlation")
         out = row if out is None else out.unionByName(row)
