@@ -121,3 +121,20 @@ def test_languages_of_few_texts_reject(spark):
         assert np.isfinite(model.mean).all()
         odd = spark.createDataFrame([(1, "Съешь же ещё этих мягких французских булок " * 5), (2, rows[11].text), (3, rows[0].text)], "doc_id long, text string")
         assert [r.rejected for r in language.predict(odd, model).orderBy("doc_id").collect()] == [True, False, False]
+
+
+def test_letters_are_told_by_a_table(monkeypatch):
+    """As by the pattern, for every code point; no pattern runs over a text."""
+    import regex
+
+    def by_pattern(text):
+        cleaned = regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip()
+        return np.frombuffer(f" {cleaned} ".encode("utf-32-le"), "<u4") if regex.search(r"\p{L}", cleaned) else np.empty(0, np.uint32)
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [every, every[::-1], "", " ", "12, 3", "\u0301", "a", " a ", "a1b", "1a  b,c2", "\u0130stanbul \u0301x", "\u2003x\u2003"]
+    want = [by_pattern(t) for t in texts]
+    language.code_points("a")
+    for name in ("sub", "search", "finditer", "findall"):
+        monkeypatch.setattr(regex, name, None)
+    assert all(np.array_equal(language.code_points(t), w) for t, w in zip(texts, want))

@@ -130,3 +130,20 @@ def test_recall_at_the_threshold(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] == i - i % 2 for i, _ in rows) >= 0.99 * len(rows)
 
+
+
+def test_codes_of_long_texts_are_the_majority_of_signs(monkeypatch):
+    """Counted a byte's worth at a time, nothing overflows; powers are worked out once."""
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 254, 255, 256, 510, 4080, 4096, 9000):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        lanes = np.arange(1, simhash.BITS // 64 + 1, dtype=np.uint64) * simhash._ODD
+        signs = np.unpackbits(simhash.mixed(h[:, None] ^ lanes).view(np.uint8).reshape(n, simhash.BITS // 8), axis=1) if n else np.zeros((0, simhash.BITS))
+        assert (simhash.simhash(h) == (2 * signs.sum(0, dtype=np.int64) > n)).all()
+        same = np.repeat(h[:1], n)  # every coordinate's count is 0 or n
+        assert (simhash.simhash(same) == (signs[0] > 0 if n else False)).all()
+    long, word = b"x" * 70_000 + b" end of it", b"end"
+    simhash.word_hashes(np.frombuffer(word, np.uint8))
+    assert simhash.word_hashes(np.frombuffer(long, np.uint8))[1] == simhash.word_hashes(np.frombuffer(word, np.uint8))[0]
+    monkeypatch.setattr(np, "cumprod", None)
+    simhash.word_hashes(np.frombuffer(b"two words", np.uint8))

@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -50,14 +51,31 @@ UNKNOWN_BITS = 16.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def code_points(text: str) -> np.ndarray:
-    """Lower-case letters and single spaces, with a space at either end; empty if there is no letter."""
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 2 of letters, 1 of marks, 0 of all else."""
     import regex
 
-    cleaned = regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip()
-    if not cleaned or not regex.search(r"\p{L}", cleaned):
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(len(every), np.uint8)
+    for pattern, kind in ((r"\p{M}+", 1), (r"\p{L}+", 2)):
+        for found in regex.finditer(pattern, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def code_points(text: str) -> np.ndarray:
+    """Lower-case letters and single spaces, with a space at either end; empty if there is no letter."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), "<u4")
+    kinds = _kinds()[codes]
+    if not (kinds == 2).any():
         return np.empty(0, np.uint32)
-    return np.frombuffer(f" {cleaned} ".encode("utf-32-le"), "<u4")
+    solid = kinds > 0
+    # of what lies between words, the first character becomes the space
+    taken = solid.copy()
+    taken[1:] |= solid[:-1]
+    taken[0] = True
+    return np.where(solid, codes, np.uint32(32))[taken]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -314,6 +332,10 @@ class Scorer:
         self.model = model
         self.strings = [SortedHashes(h) for h in model.strings]
         self.contexts = [SortedHashes(h) for h in model.contexts]
+        # absent strings and contexts are found in the last row
+        self.logs = [np.append(x, np.full((1, x.shape[1]), -np.inf, np.float32), axis=0) for x in model.logs]
+        self.lacks = [np.isinf(x).any(axis=1) for x in self.logs]
+        self.weights = [np.append(x, np.zeros((1, x.shape[1]), np.float32), axis=0) for x in model.weights]
 
     def bits(self, codes: list[np.ndarray]) -> np.ndarray:
         """Cross-entropy in bits a character, a row a text and a column a language; texts must not be empty."""
@@ -335,29 +357,29 @@ class Scorer:
 
     def _logs(self, joined: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
         """log2 p of the last of k characters after the others, for the strings at the given positions."""
-        m = self.model
-        out = np.empty((len(starts), len(m.languages)), np.float32)
         h = np.zeros(len(starts), np.uint64)
+        whole = len(starts) * 8 > len(joined)  # most places are wanted: hash all, in order
+        if whole:
+            h = np.zeros(len(joined) - k + 1, np.uint64)
         for j in range(k):
             if j == k - 1 and k > 1:
-                head = mixed(h)
-            h = (h + joined[starts + j].astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
+                head = h.copy()
+            h += joined[j : j + len(h)] if whole else joined[starts + j]
+            h += np.uint64(1)
+            h *= _MULTIPLIER
             h ^= h >> np.uint64(32)
-        at = self.strings[k - 1].find(mixed(h))
-        known = at >= 0
-        out[known] = m.logs[k - 1][at[known]]
-        out[~known] = -np.inf
-        lacking = np.flatnonzero(np.isinf(out).any(axis=1))
+        at = self.strings[k - 1].find(mixed(h[starts] if whole else h))
+        out = self.logs[k - 1].take(at, axis=0, mode="wrap")
+        lacking = np.flatnonzero(self.lacks[k - 1][at])
         if not len(lacking):
             return out
+        part = out[lacking]
         if k == 1:
-            part = out[lacking]
             part[np.isinf(part)] = -UNKNOWN_BITS
         else:
             shorter = self._logs(joined, starts[lacking] + 1, k - 1)
-            where = self.contexts[k - 2].find(head[lacking])
-            shorter[where >= 0] += m.weights[k - 2][where[where >= 0]]
-            part = out[lacking]
+            where = self.contexts[k - 2].find(mixed(head[starts[lacking]] if whole else head[lacking]))
+            shorter += self.weights[k - 2].take(where, axis=0, mode="wrap")
             part = np.where(np.isinf(part), shorter, part)
         out[lacking] = np.maximum(part, -2 * UNKNOWN_BITS)
         return out

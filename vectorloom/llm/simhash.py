@@ -57,14 +57,29 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M1
+    h ^= h >> np.uint64(27)
+    h *= _M2
+    h ^= h >> np.uint64(31)
+    return h
 
 
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base ** 2 and so on to n of them; as many as common texts need are kept."""
+    if n <= len(table := _usual(base)):
+        return table[:n]
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
+
+
+@cache
+def _usual(base: np.uint64) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, base)]))
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word of a text's bytes, by differences of a running polynomial."""
     solid = ~_SPACE[data]
@@ -72,9 +87,12 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(begin):
         return np.empty(0, np.uint64)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data) - 1, _ODD)]))
-    running = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(begin[-1], _INVERSE)]))
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers(_ODD, len(data))
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(terms, out=running[1:])
+    inverse = _powers(_INVERSE, begin[-1] + 1)
     return mixed((running[end] - running[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
@@ -92,13 +110,14 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 def simhash(h: np.ndarray) -> np.ndarray:
     """BITS signs of a set of hashes; ties and the empty set give zeros."""
-    total = np.zeros(BITS, np.int64)
+    ones = np.zeros(BITS, np.int64)
     lanes = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * _ODD
-    for at in range(0, len(h), 4096):
-        part = mixed(h[at : at + 4096, None] ^ lanes[None, :])
-        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1)
-        total += 2 * bits.sum(0, dtype=np.int64) - len(part)
-    return total > 0
+    for at in range(0, len(h), 4080):
+        part = mixed(h[at : at + 4080, None] ^ lanes[None, :])
+        bits = np.unpackbits(part.view(np.uint8).ravel()).reshape(len(part), -1)
+        for few in range(0, len(bits), 255):  # what a byte can count
+            ones += bits[few : few + 255].sum(0, dtype=np.uint8)
+    return 2 * ones > len(h)
 
 
 def agreement(similarity: float) -> float:
